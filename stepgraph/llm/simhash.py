@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     grouped = unique.join(nodes.withColumnRenamed("node", "_fp"), "_fp")
     least = grouped.groupBy("root").agg(F.min("_rep").alias("_least"))
     linked = grouped.join(least, "root").select("_fp", "_least")
-    named = unique.join(linked, "_fp", "left").select("_fp", F.coalesce("_least", "_rep").alias("component_id"))
+    named = checkpoint(unique.join(linked, "_fp", "left").select("_fp", F.coalesce("_least", "_rep").alias("component_id")))
     return prints.join(named, "_fp").select(
         F.col(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
