@@ -12,9 +12,12 @@ documents; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +30,7 @@ END = 1
 BLOCK = 50_000
 #: A window with more padding than this is cut at powers of two.
 MAX_PADDING = 16
-#: Encoded words kept by a task.
+#: Encoded pieces in each of the two generations that a worker keeps.
 CACHE = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -110,37 +113,61 @@ def cut_at_powers(lengths: list[int], window: int, max_padding: int) -> list[lis
     return out
 
 
-class WordEncoder:
-    """ids of a text as little-endian 32-bit bytes, by encoding each distinct white-space separated word once.
+class Encoder:
+    """ids of a text as little-endian 32-bit bytes, from those of its pieces, each distinct piece encoded once.
 
-    Exact for tokenizers that drop white space and never join across it.
+    Exact for tokenizers that normalise characters to NFC and lower case, and then cut at PIECES and drop white
+    space, as word_bpe_49k.json does.  Texts with other characters than PLAIN ones are cut at white space only.
     """
 
+    # The cut of word_bpe_49k.json; characters whose case and classes no Unicode version changes.
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\s0-9a-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+    PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> list[str]:
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return self.PIECES.findall(text.lower())
+        return [x for x in re.split(r"[ \t\r\n]+", text) if x]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [re.split(r"[ \t\r\n]+", t) for t in texts]
-        fresh = list({w for words in split for w in words if w not in self.known})
-        if len(self.known) + len(fresh) > CACHE:
-            self.known = {}
-            fresh = list({w for words in split for w in words})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, dtype="<u4").tobytes()
-        known = self.known
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for word in fresh:
-            if len(word) > 256:
-                del known[word]
+        if len(self.known) > CACHE:  # what the last generation used is carried over as it is met again
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        cut = [self._cut(t) for t in texts]
+        fresh = list(set().union(*cut).difference(known))
+        learn = []
+        for piece in fresh:
+            code = older.get(piece)
+            if code is None:
+                learn.append(piece)
+            else:
+                known[piece] = code
+        for i in range(0, len(learn), 4096):
+            part = learn[i : i + 4096]
+            for piece, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[piece] = array("I", code.ids).tobytes()
+        out = [b"".join([known[x] for x in pieces]) for pieces in cut]
+        for piece in learn:
+            if len(piece) > 256:
+                del known[piece]
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for the Python worker, whichever tasks it runs."""
+    return Encoder(path)
+
+
 def _batches(frames: Iterator[pa.RecordBatch], most: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """Ids and texts in lists of at most about so many characters."""
     for frame in frames:
@@ -175,7 +202,7 @@ def pack(
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = WordEncoder(tokenizer)
+        encode = encoder(tokenizer)
         number = TaskContext.get().partitionId() << 33
         last = np.array([end], dtype="<u4").tobytes()
         rows: list[tuple] = []
