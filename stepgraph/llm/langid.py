@@ -187,7 +187,6 @@ def op2_langid(spark, sf_dir):
 def identified_documents(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are rejected."""
     model = learn(docs, **options)
-    uid = internal(docs, "_row")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    good = identify(rows, model, keep=[uid]).filter("accepted").select(uid)
-    return rows.join(good, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    clear = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns are called
+    found = identify(clear, model, text=f"c{docs.columns.index('text')}", keep=clear.columns)
+    return found.filter("accepted").select(*clear.columns).toDF(*docs.columns)
