@@ -70,8 +70,10 @@ def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     df = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("_raw"))
     for name, column in steps[:4]:
         df = df.withColumn(name, column)
-    df = df.select(*[f"k{i}" for i in range(len(keep))], *[c.alias(name) for name, c in steps if name[0] != "_"])
-    return df
+    # A generator, as no filter or projection over the score is pushed below one: each statistic is computed once.
+    kept = [f"k{i}" for i in range(len(keep))]
+    once = F.explode(F.array(F.struct(*[c.alias(name) for name, c in steps if name[0] != "_"]))).alias("s")
+    return df.select(*kept, once).select(*kept, "s.*")
 
 
 @dataclass(frozen=True)
