@@ -227,8 +227,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: st
     if n > 1.3 * fit_rows:
         known = known.filter(F.col("h") <= int(1.3 * fit_rows / n * 2**64) - 2**63)
     known = known.limit(2 * fit_rows)  # never reached: the hashes let through 1.3 times fit_rows
-    ours = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k").limit(4 * fit_rows)
-    rows = with_statistics(ours, "t", ["h", "k", "y"]).toPandas().sort_values(["k0", "k1", "k2", *names()], kind="stable")[:fit_rows]
+    ours = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")
+    rows = with_statistics(ours, "t", ["h", "k", "y"]).limit(4 * fit_rows).toPandas().sort_values(["k0", "k1", "k2", *names()], kind="stable")[:fit_rows]
     return fit(rows[names()].to_numpy("f8"), rows["k2"].to_numpy("f8"))
 
 
