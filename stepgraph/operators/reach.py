@@ -13,19 +13,21 @@ def reachable(edges: DataFrame, start: DataFrame, barriers: bool = False) -> Dat
 
     barriers: an edge of several sources counts once all of them are reached, as a fan-in does.
     """
-    need = edges.groupBy("graph", "edge").agg(F.countDistinct("source").alias("n"))
-    seen = checkpoint(start.select("graph", "node").distinct())
-    size = seen.count()
+    edges = checkpoint(edges.select("graph", "edge", "source", "target").distinct())
+    need = edges.groupBy("graph", "edge").agg(F.count_distinct("source").alias("n"))
+    seen = latest = checkpoint(start.select("graph", "node").distinct())
     while True:
-        met = edges.join(seen.withColumnRenamed("node", "source"), ["graph", "source"])
         if barriers:
-            met = met.groupBy("graph", "edge").agg(F.countDistinct("source").alias("m")).join(need, ["graph", "edge"])
+            met = edges.join(seen.withColumnRenamed("node", "source"), ["graph", "source"])
+            met = met.groupBy("graph", "edge").agg(F.count_distinct("source").alias("m")).join(need, ["graph", "edge"])
             met = edges.join(met.filter("m = n").select("graph", "edge"), ["graph", "edge"], "left_semi")
-        more = checkpoint(seen.unionByName(met.select("graph", F.col("target").alias("node"))).distinct())
-        now = more.count()
-        if now == size:
-            return more
-        seen, size = more, now
+        else:
+            met = edges.join(latest.withColumnRenamed("node", "source"), ["graph", "source"])
+        found = met.select("graph", F.col("target").alias("node")).distinct()
+        latest = checkpoint(found.join(seen, ["graph", "node"], "left_anti"))
+        if latest.isEmpty():
+            return seen
+        seen = checkpoint(seen.unionByName(latest))
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -279,7 +279,7 @@ def schedule_delta(spark, d):
 
 
 def _proposals(rows: DataFrame) -> DataFrame:
-    two = rows.filter(F.col("id") % 5 < 2).select("id", "run_id", "checkpoint_seq", "claim_token", F.explode(F.array(F.lit(0), F.lit(1))).alias("w"))
+    two = rows.select("id", "run_id", "checkpoint_seq", "claim_token", F.explode(F.array(F.lit(0), F.lit(1))).alias("w"))
     return two.select(
         (F.col("id") * 2 + F.col("w")).alias("proposal_id"),
         F.when(F.col("id") % 11 == 0, F.concat(F.lit("no-"), "run_id")).otherwise(F.col("run_id")).alias("run_id"),
@@ -293,7 +293,7 @@ def _proposals(rows: DataFrame) -> DataFrame:
     (SELECT p.proposal_id, p.run_id, runs.status AS st, coalesce(p.expected_seq = runs.checkpoint_seq AND p.token IS NOT DISTINCT FROM runs.claim_token AND runs.status = 'running', false) AS ok
      FROM proposals p LEFT JOIN runs ON runs.run_id = p.run_id))""", RUNS,
     """proposals AS (SELECT id * 2 + w AS proposal_id, CASE WHEN id % 11 = 0 THEN 'no-' || run_id ELSE run_id END AS run_id,
-  checkpoint_seq + CAST(id % 7 = 0 AS INTEGER) AS expected_seq, claim_token AS token FROM runs, (VALUES (0), (1)) v(w) WHERE id % 5 < 2)""")
+  checkpoint_seq + CAST(id % 7 = 0 AS INTEGER) AS expected_seq, claim_token AS token FROM runs, (VALUES (0), (1)) v(w))""")
 def commit_fence_winner(spark, d):
     rows = runs(spark, d)
     return store.fenced(_proposals(rows), rows)
@@ -441,36 +441,34 @@ def validate_rows(spark, d):
     return table(spark, d, "part").groupBy((F.size(row_violations(_PART)) == 0).alias("valid")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-# Graph analytics over a corpus of small graphs: one graph for each supplier residue.
+# Graph analytics over a corpus of small graphs: every order is one, its lines are the edges.
 
-_EDGES = """edges AS (SELECT DISTINCT l_orderkey % 20 AS graph, l_suppkey % 25 || '-' || l_linenumber AS edge,
-  l_suppkey % 25 AS source, l_partkey % 40 AS target FROM lineitem WHERE l_quantity = 7 AND l_discount < 0.03 AND l_orderkey % 3 = 0)"""
+_EDGES = """edges AS (SELECT DISTINCT l_orderkey AS graph, l_suppkey % 8 || '-' || l_linenumber AS edge,
+  l_suppkey % 8 AS source, l_partkey % 8 AS target FROM lineitem),
+starts AS (SELECT graph, min(source) AS node FROM edges GROUP BY graph), ends AS (SELECT graph, max(target) AS node FROM edges GROUP BY graph)"""
 
 
 def edges(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").filter("l_quantity = 7 and l_discount < 0.03 and l_orderkey % 3 = 0")
-    return rows.select(
-        (F.col("l_orderkey") % 20).alias("graph"),
-        F.concat_ws("-", (F.col("l_suppkey") % 25).cast("string"), F.col("l_linenumber").cast("string")).alias("edge"),
-        (F.col("l_suppkey") % 25).alias("source"),
-        (F.col("l_partkey") % 40).alias("target"),
-    ).distinct()
+    source, target = F.col("l_suppkey") % 8, F.col("l_partkey") % 8
+    edge = F.concat_ws("-", source.cast("string"), F.col("l_linenumber").cast("string"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), edge.alias("edge"), source.alias("source"), target.alias("target")).distinct()
 
 
-def _starts(spark) -> DataFrame:
-    return spark.range(20).select(F.col("id").alias("graph"), F.lit(1).cast("long").alias("node"))
+def _starts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("graph").agg(F.min("source").alias("node"))
 
 
-@query("SELECT graph, node FROM r", "RECURSIVE " + _EDGES, "r AS (SELECT range AS graph, CAST(1 AS BIGINT) AS node FROM range(0, 20) UNION SELECT e.graph, e.target FROM r JOIN edges e ON e.graph = r.graph AND e.source = r.node)")
+@query("SELECT graph, node FROM r", "RECURSIVE " + _EDGES, "r AS (SELECT graph, node FROM starts UNION SELECT e.graph, e.target FROM r JOIN edges e ON e.graph = r.graph AND e.source = r.node)")
 def graph_reachability(spark, d):
-    return reach.reachable(edges(spark, d), _starts(spark))
+    rows = edges(spark, d)
+    return reach.reachable(rows, _starts(rows))
 
 
 @query()
 def graph_and_reachability(spark, d):
     """Fan-in edges: the sources of one target in one graph must all be reached."""
-    rows = edges(spark, d).withColumn("edge", F.concat_ws("-", F.col("target").cast("string"), (F.col("source") % 5).cast("string")))
-    return reach.reachable(rows.distinct(), spark.range(20).crossJoin(spark.range(12).withColumnRenamed("id", "node")).select(F.col("id").alias("graph"), "node"), barriers=True)
+    rows = edges(spark, d).withColumn("edge", F.concat_ws("-", F.col("target").cast("string"), (F.col("source") % 3).cast("string")))
+    return reach.reachable(rows.distinct(), _starts(rows), barriers=True)
 
 
 _CLOSURE = "c AS (SELECT DISTINCT graph, source AS a, target AS b FROM edges UNION SELECT c.graph, c.a, e.target FROM c JOIN edges e ON e.graph = c.graph AND e.source = c.b)"
@@ -482,17 +480,16 @@ def graph_cycles(spark, d):
 
 
 @query("SELECT graph, node FROM (SELECT graph, source AS node FROM edges UNION SELECT graph, target FROM edges) n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph = n.graph AND r.node = n.node)", "RECURSIVE " + _EDGES,
-    "r AS (SELECT range AS graph, CAST(3 AS BIGINT) AS node FROM range(0, 20) UNION SELECT e.graph, e.source FROM r JOIN edges e ON e.graph = r.graph AND e.target = r.node)")
+    "r AS (SELECT graph, node FROM ends UNION SELECT e.graph, e.source FROM r JOIN edges e ON e.graph = r.graph AND e.target = r.node)")
 def graph_dead_ends(spark, d):
-    return reach.dead_ends(edges(spark, d), spark.range(20).select(F.col("id").alias("graph"), F.lit(3).cast("long").alias("node")))
+    rows = edges(spark, d)
+    return reach.dead_ends(rows, rows.groupBy("graph").agg(F.max("target").alias("node")))
 
 
-@query("SELECT graph, range AS node FROM range(0, 40), range(0, 20) g(graph) WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = g.graph AND (e.source = range OR e.target = range))", _EDGES)
+@query("SELECT graph, range AS node FROM (SELECT DISTINCT graph FROM edges) g, range(0, 8) WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph = g.graph AND (e.source = range OR e.target = range))", _EDGES)
 def graph_orphans(spark, d):
-    e = edges(spark, d)
-    used = e.select("graph", F.col("source").alias("node")).unionByName(e.select("graph", F.col("target").alias("node"))).distinct()
-    declared = spark.range(20 * 40).select((F.col("id") % 20).alias("graph"), F.floor(F.col("id") / 20).alias("node"))
-    return declared.join(used, ["graph", "node"], "left_anti")
+    used = edges(spark, d).groupBy("graph").agg(F.array_union(F.collect_set("source"), F.collect_set("target")).alias("used"))
+    return used.select("graph", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(7)).cast("array<long>"), "used")).alias("node"))
 
 
 # Scorecard
