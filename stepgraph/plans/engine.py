@@ -9,15 +9,16 @@ checkpointed every few steps and stop when no run is active.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.guards import Channel, to_column
+from ..functions.schemas import Schema, violations
 from ..sources.snapshots import checkpoint
-from .graph import FINISH, START, Graph, Reducer
+from .graph import FINISH, START, Field, Graph, Reducer
 
 HOST_LIMIT = 100
 
@@ -27,6 +28,7 @@ class View:
     """What a node sees: committed values, with defaults for fields never written."""
 
     graph: Graph
+    attempt: Column
 
     def __getitem__(self, name: str) -> Column:
         return F.col(f"v_{name}")
@@ -34,9 +36,44 @@ class View:
     def version(self, name: str) -> Column:
         return F.col(f"n_{name}")
 
-    @property
-    def attempt(self) -> Column:
-        return F.col("attempt")
+
+def write_schema(f: Field) -> Schema:
+    """What one write must satisfy: bounds of a list or a sum hold for the declared field, not for each write."""
+    s = f.schema
+    if f.reducer.kind in ("append", "union"):
+        return Schema("list", item=s.item)
+    if f.reducer.kind == "sum":
+        return Schema(s.kind)
+    if f.reducer.kind == "merge" and s.kind == "object":
+        return replace(s, required=False, fields={k: replace(v, required=False) for k, v in s.fields.items()})
+    return s
+
+
+def _identity(schema: Schema, x: Column, by: tuple[str, ...]) -> Column:
+    """What tells one list element from another: its value at the path, or the whole element where there is none."""
+    at, there = x, F.lit(True)
+    for name in by:
+        if schema.kind == "object" and name in schema.fields:
+            at, schema = at.getField(name), schema.fields[name]
+            there = there & at.isNotNull()
+        elif schema.kind == "map":
+            there = there & F.coalesce(F.map_contains_key(at, name), F.lit(False))
+            at, schema = F.try_element_at(at, F.lit(name)), Schema("string")
+        else:
+            return F.to_json(F.struct(x.alias("value")))
+    return F.when(there, F.to_json(F.struct(at.alias("key")))).otherwise(F.to_json(F.struct(x.alias("value"))))
+
+
+def _merged(schema: Schema, left: Column, right: Column, deep: bool) -> Column:
+    """Right wins.  A typed object has no absent fields, so there a null on the right leaves the left."""
+    if schema.kind == "map":
+        return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
+    parts = []
+    for name, inner in schema.fields.items():
+        a, b = left.getField(name), right.getField(name)
+        both = _merged(inner, a, b, deep) if deep and inner.kind in ("map", "object") else b
+        parts.append((F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(b, a))).alias(name))
+    return F.struct(*parts)
 
 
 def _any(columns: list[Column]) -> Column:
@@ -51,7 +88,10 @@ class Engine:
         self.graph, self.limit = graph, graph.max_supersteps or host_limit
         self.nodes = sorted(graph.nodes)
         self.edges = sorted(graph.edges)
-        self.view = View(graph)
+        self.flaky = [n for n in self.nodes if graph.nodes[n].fails]
+
+    def _view(self, name: str) -> View:
+        return View(self.graph, F.col(f"t_{name}") if name in self.flaky else F.lit(1))
 
     def _zero(self, name: str) -> Column:
         f = self.graph.channels()[name]
@@ -61,12 +101,17 @@ class Engine:
             value = 0
         if value is None and f.reducer.kind in ("append", "union"):
             return F.array().cast(kind)
+        if f.reducer.kind == "merge" or isinstance(value, dict):
+            value = value or {}
+            if f.schema.kind == "object":
+                return F.struct(*[F.lit(value.get(k)).cast(v.spark_type()).alias(k) for k, v in f.schema.fields.items()])
+            return F.create_map(*[F.lit(x) for pair in value.items() for x in pair]).cast(kind)
         if isinstance(value, (list, tuple)):
             return F.array(*[F.lit(v) for v in value]).cast(kind)
         return F.lit(value).cast(kind)
 
     def start(self, inputs: DataFrame, key: str) -> DataFrame:
-        """Runs from a DataFrame with one column for each input; a run without a required input has failed."""
+        """Runs from a DataFrame with one column for each input; a run with a missing or invalid one has failed."""
         columns: list[Column] = [F.col(key).alias("run_id")]
         bad = []
         for name, f in self.graph.inputs.items():
@@ -74,6 +119,7 @@ class Engine:
             columns += [F.coalesce(given, self._zero(name)).alias(f"v_{name}"), given.isNotNull().cast("int").alias(f"n_{name}"), given.isNotNull().alias(f"w_{name}")]
             if f.required and f.default is None:
                 bad.append(given.isNull())
+            bad.append(F.size(violations(f.schema, given, name)) > 0)
         for name in self.graph.fields:
             columns += [self._zero(name).alias(f"v_{name}"), F.lit(0).alias(f"n_{name}"), F.lit(False).alias(f"w_{name}")]
         rows = inputs.select(*columns, _any(bad).alias("_invalid"))
@@ -88,7 +134,8 @@ class Engine:
         return rows.withColumns(
             {
                 "step": F.lit(0),
-                "attempt": F.lit(1),
+                **{f"t_{n}": F.lit(1) for n in self.flaky},
+                **{f"k_{n}": F.lit(False) for n in self.flaky},
                 "status": F.when(invalid, "failed").otherwise("running"),
                 "code": F.when(invalid, "invalid_input"),
                 "waiting": F.lit(None).cast("string"),
@@ -109,18 +156,24 @@ class Engine:
         """The prior value folded with (whether written, value) pairs in the order of node ids."""
         prior, unset = F.col(f"v_{name}"), F.col(f"n_{name}") == 0
         if reducer.kind == "sum":
-            return reduce(lambda a, w: a + F.when(w[0], w[1]).otherwise(F.lit(0)), writes, prior)
+            return reduce(lambda a, w: a + F.when(w[0], F.coalesce(w[1], F.lit(0))).otherwise(F.lit(0)), writes, prior)
         if reducer.kind in ("append", "union"):
             kind = self.graph.channels()[name].schema.spark_type()
-            out = F.concat(prior, *[F.when(on, v.cast(kind)).otherwise(F.array().cast(kind)) for on, v in writes])
-            if reducer.unique or reducer.kind == "union":
+            null = F.array(F.lit(None)).cast(kind)
+            out = F.concat(prior, *[F.when(on, F.coalesce(v.cast(kind), null)).otherwise(F.array().cast(kind)) for on, v in writes])
+            if reducer.by:
+                item = self.graph.channels()[name].schema.item
+                keys = F.transform(out, lambda x: _identity(item, x, reducer.by))
+                out = F.filter(out, lambda x, i: F.array_position(keys, _identity(item, x, reducer.by)) == i + 1)
+            elif reducer.unique or reducer.kind == "union":
                 out = F.array_distinct(out)
             if reducer.max_length is not None:
                 n = reducer.max_length
                 out = F.slice(out, F.greatest(F.size(out) - n + 1, F.lit(1)), F.lit(n))
             return out
         if reducer.kind == "merge":
-            return reduce(lambda a, w: F.when(w[0], F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(w[1], k)), w[1])).otherwise(a), writes, prior)
+            schema = self.graph.channels()[name].schema
+            return reduce(lambda a, w: F.when(w[0] & w[1].isNotNull(), _merged(schema, a, w[1], reducer.deep)).otherwise(a), writes, prior)
         kept = prior if reducer.kind == "first_value" else None
         order = writes if reducer.kind == "first_value" else writes[::-1]
         if self.graph.channels()[name].default is not None and kept is not None:
@@ -139,16 +192,27 @@ class Engine:
         some = _any(list(on.values()))
         rows = rows.withColumns({"_go": running & some & (F.col("step") < self.limit), "_some": some})
         go = F.col("_go")
-        bad = {n: on[n] & F.coalesce(g.nodes[n].fails(self.view), F.lit(False)) for n in self.nodes if g.nodes[n].fails}
-        final = _any([c & (F.col("attempt") >= g.nodes[n].max_attempts) for n, c in bad.items()])
-        asks = {n: on[n] & F.coalesce(g.nodes[n].interrupts(self.view), F.lit(False)) for n in self.nodes if g.nodes[n].interrupts}
-        rows = rows.withColumns({"_bad": go & _any(list(bad.values())), "_final": go & final, **{f"i_{n}": go & c for n, c in asks.items()}})
-        # A failed attempt writes nothing: with attempts left the step is tried again, else the run has failed.
+        asks = {n: on[n] & F.coalesce(g.nodes[n].interrupts(self._view(n)), F.lit(False)) for n in self.nodes if g.nodes[n].interrupts}
+        rows = rows.withColumns({f"i_{n}": go & c for n, c in asks.items()})
+        # A node whose attempt succeeded beside a failed one is held: its view stays, so that its writes wait unseen.
+        bad = {n: go & on[n] & ~F.col(f"k_{n}") & F.coalesce(g.nodes[n].fails(self._view(n)), F.lit(False)) for n in self.flaky}
+        wrong = []
+        for name, f in g.channels().items():
+            for n in self.nodes:
+                if name in g.nodes[n].update:
+                    parked = F.col(f"i_{n}") if n in asks else F.lit(False)
+                    value = g.nodes[n].update[name](self._view(n)).cast(f.schema.spark_type())
+                    wrong.append(go & on[n] & ~parked & ~bad.get(n, F.lit(False)) & (F.size(violations(write_schema(f), value, name)) > 0))
+        rows = rows.withColumns({f"b_{n}": c for n, c in bad.items()} | {"_wrong": _any(wrong)})
+        bad = {n: F.col(f"b_{n}") for n in self.flaky}
+        spent = _any([c & (F.col(f"t_{n}") >= g.nodes[n].max_attempts) for n, c in bad.items()])
+        rows = rows.withColumns({"_final": F.col("_wrong") | spent, "_bad": F.col("_wrong") | _any(list(bad.values()))})
+        # An invalid write is never tried again; a failed attempt is, while any are left.  Else the run has failed.
         commit = go & ~F.col("_bad")
         done = {n: commit & on[n] & (~F.col(f"i_{n}") if n in asks else F.lit(True)) for n in self.nodes}
         values, written = {}, {}
         for name, f in g.channels().items():
-            writers = [(done[n], g.nodes[n].update[name](self.view)) for n in self.nodes if name in g.nodes[n].update]
+            writers = [(done[n], g.nodes[n].update[name](self._view(n))) for n in self.nodes if name in g.nodes[n].update]
             written[name] = _any([w for w, _ in writers])
             if writers:
                 values[f"v_{name}"] = F.when(written[name], self._reduced(name, f.reducer, writers)).otherwise(F.col(f"v_{name}"))
@@ -169,12 +233,13 @@ class Engine:
                 fired = fire
             else:
                 fired = _any(finished)
+            edges[f"l_{name}"] = F.col("_commit") & fired & self._guard(e.guard)
             live = fired & self._guard(e.guard) if e.target != FINISH else F.lit(False)
             edges[f"a_{name}"] = F.when(F.col("_commit"), live | (old & parked)).otherwise(old)
         asked = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"i_{n}"), F.lit(n)) for n in asks])), ",") if asks else F.lit("")
         over = (F.col("status") == "running") & F.col("_some") & ~F.col("_go")
-        events = F.array_compact(F.array(*[F.when(F.col(f"d_{n}"), F.concat(F.col("step").cast("string"), F.lit(f":{n}"))) for n in self.nodes]))
-        rows = rows.withColumns({**edges, "trace": F.concat("trace", events)})
+        rows = rows.withColumns(edges)
+        rows = rows.withColumn("trace", F.concat("trace", self._log([*asks], over)))
         pending = _any([F.col(f"a_{e}") for e in self.edges if g.edges[e].target != FINISH and g.edges[e].target not in asks])
         held = _any([F.col(f"a_{e}") & ~F.col(f"i_{g.edges[e].target}") for e in self.edges if g.edges[e].target in asks])
         blocked = (asked != "") & ~(pending | held)
@@ -186,11 +251,32 @@ class Engine:
                 .otherwise(F.col("status")),
                 "code": F.when(F.col("_final"), "node_failed").when(over, "max_supersteps_exceeded").otherwise(F.col("code")),
                 "waiting": F.when(F.col("_commit"), F.when(asked != "", asked)).otherwise(F.col("waiting")),
-                "attempt": F.when(F.col("_bad") & ~F.col("_final"), F.col("attempt") + 1).when(F.col("_commit"), 1).otherwise(F.col("attempt")),
+                **{
+                    f"t_{n}": F.when(F.col("_commit"), 1).when(F.col(f"b_{n}") & ~F.col("_final"), F.col(f"t_{n}") + 1).otherwise(F.col(f"t_{n}"))
+                    for n in self.flaky
+                },
+                **{
+                    f"k_{n}": F.when(F.col("_commit"), False).when(F.col("_bad"), F.col(f"k_{n}") | (F.col(f"x_{n}") & ~F.col(f"b_{n}"))).otherwise(F.col(f"k_{n}"))
+                    for n in self.flaky
+                },
                 "step": F.col("step") + F.col("_commit").cast("int"),
             }
         )
-        return rows.drop("_go", "_some", "_bad", "_final", "_commit", *[f"{p}_{n}" for n in self.nodes for p in "xd"], *[f"i_{n}" for n in asks])
+        used = [*[f"{p}_{n}" for n in self.nodes for p in "xd"], *[f"i_{n}" for n in asks], *[f"b_{n}" for n in self.flaky], *[f"l_{e}" for e in self.edges]]
+        return rows.drop("_go", "_some", "_wrong", "_bad", "_final", "_commit", *used)
+
+    def _log(self, asking: list[str], over: Column) -> Column:
+        """What this step adds to the trace, as step:type:subject, a checkpoint closing each transition."""
+        g = self.graph
+        ends = lambda e: g.edges[e].target == FINISH
+        said = [(F.col(f"d_{n}"), "node_completed", n) for n in self.nodes]
+        said += [(F.col("_commit") & F.col(f"w_{c}"), "channel_updated", c) for c in sorted(g.channels())]
+        said += [(F.col(f"l_{e}"), "edge_triggered", e) for e in sorted(self.edges, key=lambda e: (ends(e), e))]
+        said += [(F.col("_commit") & F.col(f"i_{n}"), "interrupt_requested", n) for n in asking]
+        said += [(F.col(f"b_{n}") & ~F.col("_final"), "node_failed", n) for n in self.flaky]
+        failed, ended = F.col("_final") | over, (F.col("status") == "running") & ~F.col("_some")
+        said += [(failed, "run_failed", ""), (ended, "run_completed", ""), (F.col("_commit") | F.col("_bad") | failed | ended, "checkpoint_committed", "")]
+        return F.array_compact(F.array(*[F.when(c, F.concat(F.col("step").cast("string"), F.lit(f":{kind}:{subject}"))) for c, kind, subject in said]))
 
     def run(self, runs: DataFrame, every: int = 3) -> DataFrame:
         """Supersteps until no run is running.
@@ -214,21 +300,47 @@ class Engine:
             if runs.filter("status = 'running'").isEmpty():
                 return runs
 
+    def _answers(self, runs: DataFrame, answers: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+        """Runs with the answers to them by node, the least of rivals, and what becomes of each node's answer."""
+        gates = [n for n in self.nodes if self.graph.nodes[n].resume]
+        one = answers.filter(F.col("node").isin(*gates)).groupBy("run_id", "node").agg(F.min(F.struct("value")).alias("_a"))
+        by_run = one.groupBy("run_id").agg(*[F.max(F.when(F.col("node") == n, F.col("_a"))).alias(f"_a_{n}") for n in gates])
+        rows = runs.join(by_run, "run_id", "left")
+        fate = {}
+        for n in gates:
+            schema = self.graph.fields[self.graph.nodes[n].resume].schema
+            valid = F.size(violations(schema, F.col(f"_a_{n}.value").cast(schema.spark_type()), n)) == 0
+            opened = F.coalesce(F.array_contains(F.split("waiting", ","), n), F.lit(False))
+            fate[n] = (
+                F.when(F.col(f"_a_{n}").isNull(), F.lit(None).cast("string"))
+                .when(F.col("status").isin("done", "failed", "cancelled"), "inactive_run")
+                .when(~opened, "not_found")
+                .when(~valid, "invalid_value")
+                .otherwise("resolved")
+            )
+        return rows, fate
+
     def resolve(self, runs: DataFrame, answers: DataFrame) -> DataFrame:
-        """Answers (run_id, node, value) to interrupts, written through the reducer of the node's resume field; the node runs again."""
-        rows = runs.join(answers.select("run_id", F.col("node").alias("_node"), F.col("value").alias("_value")), "run_id", "left")
-        waits = (F.col("status") == "waiting") & F.coalesce(F.array_contains(F.split("waiting", ","), F.col("_node")), F.lit(False))
-        values: dict[str, Column] = {}
-        for n in self.nodes:
-            name = self.graph.nodes[n].resume
-            if name:
-                here = waits & (F.col("_node") == n)
-                f = self.graph.fields[name]
-                old = values.get(f"v_{name}", F.col(f"v_{name}"))
-                new = self._reduced(name, f.reducer, [(here, F.col("_value").cast(f.schema.spark_type()))])
-                values |= {f"v_{name}": F.when(here, new).otherwise(old), f"n_{name}": F.col(f"n_{name}") + here.cast("int"), f"w_{name}": here}
-        rows = rows.withColumns({**values, "status": F.when(waits, "running").otherwise(F.col("status"))})
-        return rows.drop("_node", "_value")
+        """Answers (run_id, node, value) to interrupts, written through the reducer of the node's resume field; the node runs again.
+
+        Several nodes of one run may be answered together.  Rival answers to one node: the least value counts.
+        """
+        rows, fate = self._answers(runs, answers)
+        rows = rows.withColumns({f"_f_{n}": F.coalesce(c == "resolved", F.lit(False)) for n, c in fate.items()})
+        # One projection for each node, so that answers to the same field fold one after the other.
+        for n in fate:
+            name, here = self.graph.nodes[n].resume, F.col(f"_f_{n}")
+            f = self.graph.fields[name]
+            new = self._reduced(name, f.reducer, [(here, F.col(f"_a_{n}.value").cast(f.schema.spark_type()))])
+            rows = rows.withColumns({f"v_{name}": F.when(here, new).otherwise(F.col(f"v_{name}")), f"n_{name}": F.col(f"n_{name}") + here.cast("int"), f"w_{name}": here | F.col(f"w_{name}")})
+        some = _any([F.col(f"_f_{n}") for n in fate])
+        return rows.withColumn("status", F.when(some, "running").otherwise(F.col("status"))).drop(*[f"_{p}_{n}" for n in fate for p in "af"])
+
+    def resolutions(self, runs: DataFrame, answers: DataFrame) -> DataFrame:
+        """(run_id, node, outcome) of the answers to known runs: resolved, inactive_run, not_found or invalid_value."""
+        rows, fate = self._answers(runs, answers)
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("node"), c.alias("outcome")) for n, c in fate.items()]))
+        return rows.select("run_id", each.alias("e")).select("run_id", "e.*").filter("outcome is not null")
 
     def cancel(self, runs: DataFrame, which: Column) -> DataFrame:
         live = F.col("status").isin("running", "waiting") & which
@@ -239,12 +351,18 @@ class Engine:
         given = [F.when(F.col(f"n_{source}") > 0, F.col(f"v_{source}")).alias(name) for name, source in sorted(self.graph.outputs.items())]
         return runs.select("run_id", "status", "step", *given)
 
-    def events(self, runs: DataFrame) -> DataFrame:
-        """(run_id, seq, step, node_id) of completed nodes, in order."""
-        rows = runs.select("run_id", F.posexplode("trace").alias("pos", "e"))
+    def log(self, runs: DataFrame) -> DataFrame:
+        """(run_id, seq, step, type, subject) of every event, in order; the subject is a node, field or edge."""
+        rows = runs.select("run_id", F.posexplode("trace").alias("pos", "e")).withColumn("e", F.split("e", ":", 3))
         return rows.select(
             "run_id",
             (F.col("pos") + 1).cast("long").alias("seq"),
-            F.substring_index("e", ":", 1).cast("int").alias("step"),
-            F.substring_index("e", ":", -1).alias("node_id"),
+            F.col("e")[0].cast("int").alias("step"),
+            F.col("e")[1].alias("type"),
+            F.nullif(F.col("e")[2], F.lit("")).alias("subject"),
         )
+
+    def events(self, runs: DataFrame) -> DataFrame:
+        """(run_id, seq, step, node_id) of completed nodes, numbered among themselves."""
+        kept = F.filter("trace", lambda e: F.split(e, ":", 3)[1] == "node_completed")
+        return self.log(runs.withColumn("trace", kept)).select("run_id", "seq", "step", F.col("subject").alias("node_id"))

@@ -121,6 +121,37 @@ def _events(spark, d):
     return engine.events(engine.run(engine.start(_inputs(spark, d), "key")))
 
 
+def _log(spark, d):
+    """Every event of the fan-out, its subject empty for a whole run."""
+    engine = Engine(fanout_join())
+    return engine.log(engine.run(engine.start(_inputs(spark, d), "key"))).fillna("", ["subject"])
+
+
+def retry_beside() -> Graph:
+    """A node that succeeds at its first attempt only is held while its sibling is tried again."""
+    g = _base("beside", out=Field(INT), once=Field(INT)).put_node("flaky", Node({"out": lambda v: v.attempt}, fails=lambda v: v.attempt <= v["key"] % 3, max_attempts=3))
+    g = g.put_node("once", Node({"once": lambda v: v.attempt}, fails=lambda v: v.attempt > 1, max_attempts=9))
+    return g.put_edge("e0", START, "flaky").put_edge("e1", START, "once").put_edge("e2", ("flaky", "once"), FINISH)
+
+
+def checked() -> Graph:
+    """A write outside its field's bounds fails the run and is not tried again."""
+    g = _base("checked", small=Field(Schema("integer", max=5)), seen=Field(Schema("map"), Reducer("merge")))
+    g = g.put_node("a", Node({"small": lambda v: v["key"] % 8, "seen": lambda v: F.create_map(F.lit("x"), F.lit("a"), F.lit("p"), v["prio"])}, max_attempts=3))
+    g = g.put_node("b", node(seen=lambda v: F.create_map(F.lit("x"), F.lit("b"))))
+    return g.put_edge("e0", START, "a").put_edge("e1", START, "b").put_edge("e2", "a", FINISH).put_edge("e3", "b", FINISH)
+
+
+def _checked(spark, d):
+    return _run(checked())(spark, d).select("run_id", "status", "small", F.element_at("seen", "x").alias("x"), F.element_at("seen", "p").alias("p"))
+
+
+_WHOLE_LOG = """[('0', 'node_completed', 'root'), ('0', 'edge_triggered', 'e1'), ('0', 'edge_triggered', 'e2'), ('0', 'checkpoint_committed', ''),
+  ('1', 'node_completed', 'l'), ('1', 'node_completed', 'r'), ('1', 'channel_updated', 'left'), ('1', 'channel_updated', 'log'), ('1', 'channel_updated', 'right'),
+  ('1', 'edge_triggered', 'e3'), ('1', 'checkpoint_committed', ''), ('2', 'node_completed', 'join'), ('2', 'channel_updated', 'both'), ('2', 'channel_updated', 'log'),
+  ('2', 'edge_triggered', 'e4'), ('2', 'checkpoint_committed', ''), ('3', 'run_completed', ''), ('3', 'checkpoint_committed', '')]"""
+
+
 def _fanout(spark, d):
     return _run(fanout_join())(spark, d).withColumn("log", F.array_join("log", ","))
 
@@ -138,5 +169,8 @@ def queries() -> dict:
         "bsp_retry": (_run(retry()), f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 3 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS step, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey % 4 + 1 AS INTEGER) END AS out {o}"),
         "bsp_interrupt_resolve": (_review, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'waiting' ELSE 'done' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS step, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS decision, CASE WHEN o_orderkey % 3 <> 0 THEN 'did ' || o_orderpriority END AS applied {o}"),
         "bsp_max_supersteps": (_limited, f"SELECT CASE WHEN o_orderkey % 6 < 4 THEN 'done' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 6 >= 4 THEN 'max_supersteps_exceeded' END AS code, count(*) AS runs, CAST(max(least(o_orderkey % 6 + 1, 4)) AS INTEGER) AS steps {o} GROUP BY 1, 2"),
+        "bsp_event_log": (_log, f"SELECT o_orderkey AS run_id, i AS seq, CAST(e[1] AS INTEGER) AS step, e[2] AS type, e[3] AS subject FROM (SELECT o_orderkey, i, w[i] AS e FROM orders, range(1, 19) t(i), (SELECT {_WHOLE_LOG.replace('(', '[').replace(')', ']')} AS w))"),
+        "bsp_retry_held": (_run(retry_beside()), f"SELECT o_orderkey AS run_id, 'done' AS status, 1 AS step, CAST(o_orderkey % 3 + 1 AS INTEGER) AS out, 1 AS once {o}"),
+        "bsp_write_validation": (_checked, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 8 > 5 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 8 <= 5 THEN o_orderkey % 8 END AS small, CASE WHEN o_orderkey % 8 <= 5 THEN 'b' END AS x, CASE WHEN o_orderkey % 8 <= 5 THEN o_orderpriority END AS p {o}"),
         "bsp_events": (_events, f"SELECT o_orderkey AS run_id, CAST(e[1] AS BIGINT) AS seq, CAST(e[2] AS INTEGER) AS step, e[3] AS node_id FROM (SELECT o_orderkey, unnest([['1', '0', 'root'], ['2', '1', 'l'], ['3', '1', 'r'], ['4', '2', 'join']]) AS e {o})"),
     }
