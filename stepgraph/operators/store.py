@@ -113,6 +113,44 @@ def fenced(proposals: DataFrame, runs: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).select("proposal_id", "run_id", "outcome")
 
 
+def misses(proposals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Why a claimed commit finds no row: the run is unknown, bound to another graph or start, or its fence moved; null if it does."""
+    bound = ["graph_id", "graph_hash", "started_at"]
+    now = runs.select("run_id", F.struct(*bound).alias("_bound"), F.col("checkpoint_seq").alias("_seq"), F.col("claim_token").alias("_token"))
+    held = (F.col("expected_seq") == F.col("_seq")) & (F.col("token") == F.col("_token"))
+    miss = (
+        F.when(F.col("_seq").isNull(), "not_found")
+        .when(~F.struct(*bound).eqNullSafe(F.col("_bound")), "invalid_commit")
+        .when(~F.coalesce(held, F.lit(False)), "stale_fence")
+    )
+    return proposals.join(now, "run_id", "left").withColumn("miss", miss).drop("_bound", "_seq", "_token")
+
+
+def rescheduled(claimed: DataFrame, now: int) -> DataFrame:
+    """Claimed runs after a commit with an effect: retain, immediate, at (until), external or terminal."""
+    effect = F.col("effect")
+    return claimed.withColumns(
+        {
+            "claim_token": F.when(effect == "retain", F.col("claim_token")),
+            "claimed_at": F.when(effect == "retain", F.lit(now)),
+            "wake_at": F.when(effect == "immediate", F.lit(now)).when(effect == "at", F.col("until")),
+            "tenant_admitted_at": F.when(effect.isin("retain", "immediate"), F.col("tenant_admitted_at")),
+            "claim_attempts": F.lit(0),
+            "claim_abandons": F.lit(0),
+        }
+    )
+
+
+def cancel_unclaimed(signals: DataFrame, runs: DataFrame) -> DataFrame:
+    """Cancels by compare-and-set: lost if the run has moved on since it was read (expected_seq), unchanged if it is over."""
+    rows = signals.select("run_id", "expected_seq").join(runs.select("run_id", "status", "checkpoint_seq"), "run_id")
+    live = F.col("status").isin("running", "waiting")
+    outcome = F.when(F.col("expected_seq") != F.col("checkpoint_seq"), "lost").when(live, "cancelled").otherwise("unchanged")
+    rows = rows.withColumn("outcome", outcome)
+    won = F.col("outcome") == "cancelled"
+    return rows.select("run_id", "outcome", F.when(won, "cancelled").otherwise(F.col("status")).alias("status"), (F.col("checkpoint_seq") + won.cast("int")).alias("checkpoint_seq"))
+
+
 def append_events(log: DataFrame, new: DataFrame) -> DataFrame:
     """What becomes of each new event: inserted, the same as one stored, or in conflict with it."""
     keys = ["run_id", "seq"]

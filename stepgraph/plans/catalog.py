@@ -15,8 +15,12 @@ from ..functions.schemas import Schema, row_violations
 from ..operators import admission as A
 from ..operators import metrics as M
 from ..operators import reach, store
-from ..sources.tables import DAY, EVENTS, NOW, RUNS, VERSIONS, events_log, graph_versions, runs, table
+from ..sources.snapshots import fresh_folder
+from ..sources.tables import DAY, EVENTS, NOW, RUNS, VERSIONS, events_log, graph_versions, micros, runs, table
+from ..streaming import fold
+from ..streaming.shell import RunShell
 from . import flows
+from .engine import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -299,6 +303,45 @@ def commit_fence_winner(spark, d):
     return store.fenced(_proposals(rows), rows)
 
 
+@query("""SELECT run_id, CASE WHEN id % 3 = 0 THEN 'lost' WHEN status IN ('running', 'waiting') THEN 'cancelled' ELSE 'unchanged' END AS outcome,
+  CASE WHEN id % 3 <> 0 AND status IN ('running', 'waiting') THEN 'cancelled' ELSE status END AS status,
+  checkpoint_seq + CAST(id % 3 <> 0 AND status IN ('running', 'waiting') AS INTEGER) AS checkpoint_seq FROM runs""", RUNS)
+def cas_signal(spark, d):
+    rows = runs(spark, d)
+    signals = rows.select("run_id", (F.col("checkpoint_seq") - (F.col("id") % 3 == 0).cast("int")).alias("expected_seq"))
+    return store.cancel_unclaimed(signals, rows)
+
+
+_EFFECTS = ["retain", "immediate", "at", "external", "terminal"]
+
+
+@query(f"""SELECT id, effect, CASE WHEN effect = 'retain' THEN claim_token END AS claim_token, CASE WHEN effect = 'retain' THEN {NOW} END AS claimed_at,
+  CASE effect WHEN 'immediate' THEN {NOW} WHEN 'at' THEN {NOW + DAY} END AS wake_at, CASE WHEN effect IN ('retain', 'immediate') THEN tenant_admitted_at END AS tenant_admitted_at,
+  0 AS claim_attempts, 0 AS claim_abandons FROM (SELECT *, ['retain', 'immediate', 'at', 'external', 'terminal'][id % 5 + 1] AS effect FROM runs WHERE claim_token IS NOT NULL)""", RUNS)
+def schedule_effects(spark, d):
+    rows = runs(spark, d).filter("claim_token is not null")
+    rows = rows.withColumn("effect", F.element_at(F.array(*map(F.lit, _EFFECTS)), (F.col("id") % 5 + 1).cast("int"))).withColumn("until", F.lit(NOW + DAY))
+    return store.rescheduled(rows, NOW).select("id", "effect", "claim_token", "claimed_at", "wake_at", "tenant_admitted_at", "claim_attempts", "claim_abandons")
+
+
+@query("""SELECT proposal_id, CASE WHEN runs.run_id IS NULL THEN 'not_found' WHEN p.graph_id <> runs.graph_id THEN 'invalid_commit'
+  WHEN p.expected_seq = runs.checkpoint_seq AND p.token = runs.claim_token THEN NULL ELSE 'stale_fence' END AS miss FROM proposals p LEFT JOIN runs ON runs.run_id = p.run_id""", RUNS,
+    """proposals AS (SELECT id AS proposal_id, CASE WHEN id % 11 = 0 THEN 'no-' || run_id ELSE run_id END AS run_id, CASE WHEN id % 13 = 0 THEN 'other' ELSE graph_id END AS graph_id,
+  checkpoint_seq + CAST(id % 7 = 0 AS INTEGER) AS expected_seq, claim_token AS token FROM runs)""")
+def commit_miss_class(spark, d):
+    rows, key = runs(spark, d), F.col("id")
+    proposals = rows.select(
+        key.alias("proposal_id"),
+        F.when(key % 11 == 0, F.concat(F.lit("no-"), "run_id")).otherwise(F.col("run_id")).alias("run_id"),
+        F.when(key % 13 == 0, "other").otherwise(F.col("graph_id")).alias("graph_id"),
+        "graph_hash",
+        "started_at",
+        (F.col("checkpoint_seq") + (key % 7 == 0).cast("int")).alias("expected_seq"),
+        F.col("claim_token").alias("token"),
+    )
+    return store.misses(proposals, rows).select("proposal_id", "miss")
+
+
 @query("""SELECT outcome, count(*) AS events FROM (SELECT CASE WHEN o.run_id IS NULL THEN 'inserted' WHEN o.type = n.type THEN 'duplicate' ELSE 'conflict' END AS outcome
   FROM (SELECT run_id, seq + seq % 3 AS seq, type FROM events_log) n LEFT JOIN (SELECT run_id, seq, type FROM events_log WHERE seq <= 50) o
   ON o.run_id = n.run_id AND o.seq = n.seq) GROUP BY outcome""", EVENTS)
@@ -492,6 +535,39 @@ def graph_orphans(spark, d):
     return used.select("graph", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(7)).cast("array<long>"), "used")).alias("node"))
 
 
+# Streams: the tables read as file streams, every batch one commit
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}*.parquet")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS version, max(epoch_us(ts)) AS seq, min_by(event_type, ts) AS first_type, max_by(event_type, ts) AS last_type,
+  CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, string_agg(event_type, ',' ORDER BY ts) FILTER (WHERE r <= 3) AS recent
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events) GROUP BY user_id""")
+def stream_run_state(spark, d):
+    rows = _stream(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), micros("ts").alias("seq"), F.col("event_type").alias("type"), F.get_json_object("props", "$.k").cast("long").alias("amount")
+    )
+    base = fresh_folder(spark, "stream-run-state")
+    fold.sink(fold.folded(rows), f"{base}/out", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return fold.latest(spark.read.parquet(f"{base}/out"))
+
+
+@query("""SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'done' WHEN o_orderkey % 11 = 0 THEN 'cancelled' ELSE 'waiting' END AS status,
+  CASE WHEN o_orderkey % 3 <> 0 THEN 2 ELSE 1 END AS step, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS decision, CASE WHEN o_orderkey % 3 <> 0 THEN 'did ' || o_orderpriority END AS applied FROM orders""")
+def stream_shell(spark, d):
+    """Orders start as runs that wait for a decision; two thirds are answered, some of the rest cancelled."""
+    key, prio, none = F.col("o_orderkey"), F.col("o_orderpriority"), F.lit(None).cast("string")
+    signal = lambda kind, node, value: F.struct(F.lit(kind).alias("kind"), node.alias("node"), value.alias("value"))
+    kinds = F.array(signal("start", none, none), F.when(key % 3 != 0, signal("resolve", F.lit("gate"), prio)), F.when(key % 11 == 0, signal("cancel", none, none)))
+    signals = _stream(spark, d, "orders").select(key.alias("run_id"), key.alias("key"), prio.alias("prio"), F.explode(F.array_compact(kinds)).alias("s")).select("run_id", "key", "prio", "s.*")
+    base = fresh_folder(spark, "stream-shell")
+    runner = RunShell(spark, Engine(flows.review()), f"{base}/store")
+    runner.writer(signals, f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return runner.outputs()
+
+
 # Scorecard
 
 
@@ -500,8 +576,6 @@ def graph_orphans(spark, d):
   FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY w) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n_ FROM
     (SELECT l_returnflag, CAST(floor((epoch_us(l_shipdate) - greatest(l_partkey * 1000000, l_suppkey * 1000000)) / 1000) AS BIGINT) AS w FROM lineitem)) GROUP BY l_returnflag""")
 def wait_percentiles(spark, d):
-    from ..sources.tables import micros
-
     wait = M.wait_ms(micros("l_shipdate"), F.col("l_partkey") * 1_000_000, F.col("l_suppkey") * 1_000_000)
     return M.nearest_rank(table(spark, d, "lineitem").select("l_returnflag", wait.alias("w")), ["l_returnflag"], "w")
 

@@ -3,15 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Rows written to spark.checkpoint.dir (a folder of our own only where that is unset) without lineage."""
-    context = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """spark.checkpoint.dir as Spark uses it, a folder of our own only where that is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepgraph-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepgraph-"))
+    return context.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path that no other query uses, in the folder that all executors share."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Rows written to spark.checkpoint.dir without lineage."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -38,6 +51,11 @@ class SnapshotStore:
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{name}/v={version or self.current()}")
 
+    def appended(self, name: str, version: int | None = None) -> DataFrame:
+        """What all commits up to a version wrote under a name, for tables of which each commit adds a part."""
+        rows = self.spark.read.parquet(f"{self.base}/{name}")
+        return rows.filter(F.col("v") <= (version or self.current())).drop("v")
+
     def commit(self, tables: dict[str, DataFrame], expected: int) -> int:
         """Writes the tables as version expected + 1; the pointer is created once, so one of two writers wins."""
         if self.current() != expected:
