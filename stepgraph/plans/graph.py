@@ -39,13 +39,18 @@ class Field:
 
 @dataclass(frozen=True)
 class Node:
-    """update: field -> column from the view; fails and interrupts: conditions under which an attempt does so."""
+    """update: field -> column from the view; fails and interrupts: conditions under which an attempt does so.
+
+    implementation and config name what built the node; only such nodes have a wire form.
+    """
 
     update: dict[str, Callable[[Any], Column]] = field(default_factory=dict)
     fails: Callable[[Any], Column] | None = None
     interrupts: Callable[[Any], Column] | None = None
     resume: str | None = None
     max_attempts: int = 1
+    implementation: str | None = None
+    config: dict[str, Any] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -80,6 +85,7 @@ class Graph:
     edges: dict[str, Edge] = field(default_factory=dict)
     outputs: dict[str, str] = field(default_factory=dict)
     max_supersteps: int | None = None
+    metadata: dict[str, Any] = field(default_factory=dict)
 
     def put_input(self, name: str, what: Field) -> Graph:
         rest = {k: v for k, v in self.fields.items() if k != name}
@@ -101,6 +107,22 @@ class Graph:
     def put_edge(self, name: str, source: str | tuple[str, ...], target: str, guard: Guard | None = None) -> Graph:
         return replace(self, edges=self.edges | {name: Edge(source, target, guard)})
 
+    def update_edge(self, name: str, **changes: Any) -> Graph:
+        return replace(self, edges=self.edges | {name: replace(self.edges[name], **changes)})
+
+    def update_field(self, name: str, **changes: Any) -> Graph:
+        return self.put_field(name, replace(self.fields[name], **changes))
+
+    def delete_field(self, name: str) -> Graph:
+        """Outputs, guards and nodes that use it stay; verify() then tells which."""
+        return replace(self, fields={k: v for k, v in self.fields.items() if k != name})
+
+    def policy(self, max_supersteps: int | None) -> Graph:
+        return replace(self, max_supersteps=max_supersteps)
+
+    def put_metadata(self, name: str, what: Any) -> Graph:
+        return replace(self, metadata=self.metadata | {name: what})
+
     def delete_edge(self, name: str) -> Graph:
         return replace(self, edges={k: v for k, v in self.edges.items() if k != name})
 
@@ -119,7 +141,8 @@ class Graph:
             if isinstance(x, (Field, Schema, Reducer)):
                 return {k: plain(v) for k, v in vars(x).items() if v not in (None, (), {}, False)}
             if isinstance(x, Node):
-                return {"update": sorted(x.update), "resume": x.resume, "max_attempts": x.max_attempts}
+                built = {"implementation": x.implementation, "config": plain(x.config)} if x.implementation else {}
+                return {"update": sorted(x.update), "resume": x.resume, "max_attempts": x.max_attempts} | built
             if isinstance(x, Edge):
                 return {"from": plain(x.source), "to": x.target, "guard": plain(x.guard)}
             if isinstance(x, dict):
@@ -210,6 +233,8 @@ class Graph:
                     add("invalid_node_config", f"nodes.{name}")
             if node.interrupts is not None and node.resume not in self.fields:
                 add("invalid_node_config", f"nodes.{name}")
+        if self.max_supersteps is not None and (isinstance(self.max_supersteps, bool) or not isinstance(self.max_supersteps, int) or self.max_supersteps < 1):
+            add("invalid_policy", "policies.max_supersteps")
         for name, edge in self.edges.items():
             self._verify_edge(name, edge, channels, add)
         self._verify_topology(add)

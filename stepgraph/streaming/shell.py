@@ -8,6 +8,8 @@ the history.  Within a batch a run starts first, then its answers count, then it
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -28,23 +30,24 @@ class RunShell:
     def __init__(self, spark: SparkSession, engine: Engine, base: str) -> None:
         self.spark, self.engine, self.store = spark, engine, SnapshotStore(spark, base)
 
-    def _started(self, signals: DataFrame, known: DataFrame | None) -> DataFrame:
+    def _started(self, signals: DataFrame, known: DataFrame | None, now: int) -> DataFrame:
         inputs = sorted(self.engine.graph.inputs)
         rows = signals.filter("kind = 'start' and run_id is not null")
         rows = rows.groupBy("run_id").agg(F.min(F.struct(*inputs)).alias("i")).select("run_id", "i.*")
         if known is not None:
             rows = rows.join(known, "run_id", "left_anti")
-        return self.engine.start(rows, "run_id").withColumn("logged", F.lit(0))
+        return self.engine.start(rows, "run_id").withColumns({"logged": F.lit(0), "started_at": F.lit(now), "updated_at": F.lit(now)})
 
     def process(self, signals: DataFrame, batch: int) -> bool:
         """Applies one batch; False if it was applied before."""
+        now = time.time_ns() // 1000
         if self.store.current() > batch:
             return False
         signals = checkpoint(signals)
         first = self.store.current() == 0
         live = None if first else self.store.read("live")
         known = None if first else live.select("run_id").unionByName(self.store.appended("finished").select("run_id"))
-        rows = self._started(signals, known)
+        rows = self._started(signals, known, now)
         if live is not None:
             rows = rows.unionByName(live)
         rows = self.engine.run(rows)
@@ -55,7 +58,8 @@ class RunShell:
         rows = checkpoint(self.engine.cancel(rows, F.coalesce("_gone", F.lit(False))).drop("_gone"))
         over = F.col("status").isin(*OVER)
         log = self.engine.log(rows.select("run_id", "trace")).join(rows.select("run_id", "logged"), "run_id").filter("seq > logged").drop("logged")
-        rows = rows.withColumn("logged", F.size("trace"))
+        moved = (F.size("trace") > F.col("logged")) | over
+        rows = rows.withColumns({"logged": F.size("trace"), "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))})
         self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over).drop("trace"), "events": log}, batch)
         return True
 
