@@ -38,6 +38,28 @@ class Schema:
         if self.kind == "enum" and not self.values:
             raise ValueError("an enum needs values")
 
+    def sound(self) -> bool:
+        """Whether bounds are in order and patterns compile, here and inside."""
+        for low, high in ((self.min, self.max), (self.min_length, self.max_length), (self.min_items, self.max_items)):
+            if low is not None and high is not None and low > high:
+                return False
+        if any(n is not None and n < 0 for n in (self.min_length, self.max_length, self.min_items, self.max_items)):
+            return False
+        if self.pattern is not None:
+            try:
+                re.compile(self.pattern)
+            except re.error:
+                return False
+        return all(s.sound() for s in (*self.fields.values(), *([self.item] if self.item else [])))
+
+    def covers(self, other: Schema) -> bool:
+        """Whether values of another schema fit this one by type: the same kind, a subset of an enum, items alike."""
+        if self.kind != other.kind:
+            return False
+        if self.kind == "enum":
+            return set(other.values) <= set(self.values)
+        return self.kind != "list" or self.item.covers(other.item)
+
     def spark_type(self) -> T.DataType:
         if self.kind == "integer":
             wide = any(v is not None and abs(v) > 2**63 - 1 for v in (self.min, self.max))
@@ -98,3 +120,37 @@ def violations(schema: Schema, value: Column, at: str) -> Column:
 def row_violations(schemas: dict[str, Schema]) -> Column:
     parts: Sequence[Column] = [violations(s, F.col(name), name) for name, s in sorted(schemas.items())]
     return F.concat(*parts)
+
+
+def reasons(schema: Schema, value: Any, at: str) -> list[str]:
+    """As violations(), for one value on the driver, whose type is not yet known."""
+    if value is None:
+        return [f"{at} is required"] if schema.required else []
+    kinds = {"string": str, "integer": int, "float": (int, float), "boolean": bool, "list": (list, tuple), "map": dict, "object": dict}
+    flag = isinstance(value, bool) and schema.kind != "boolean"
+    if schema.kind == "enum":
+        same = any(type(v) is type(value) and v == value for v in schema.values)
+        return [] if same else [f"{at} must be one of {', '.join(map(str, schema.values))}"]
+    if flag or not isinstance(value, kinds[schema.kind]):
+        return [f"{at} must be of type {schema.kind}"]
+    out = []
+    size = len(value) if hasattr(value, "__len__") else 0
+    text, items = schema.kind == "string", schema.kind == "list"
+    checks = [
+        (schema.min is not None and schema.kind in ("integer", "float") and value < schema.min, f"must be at least {schema.min}"),
+        (schema.max is not None and schema.kind in ("integer", "float") and value > schema.max, f"must be at most {schema.max}"),
+        (text and schema.min_length is not None and size < schema.min_length, f"must have at least {schema.min_length} characters"),
+        (text and schema.max_length is not None and size > schema.max_length, f"must have at most {schema.max_length} characters"),
+        (items and schema.min_items is not None and size < schema.min_items, f"must have at least {schema.min_items} items"),
+        (items and schema.max_items is not None and size > schema.max_items, f"must have at most {schema.max_items} items"),
+    ]
+    out += [f"{at} {reason}" for bad, reason in checks if bad]
+    if text and schema.pattern is not None and not re.search(schema.pattern, value):
+        out.append(f"{at} must match {schema.pattern}")
+    if items:
+        out += [r for i, x in enumerate(value) for r in reasons(schema.item, x, f"{at}[{i}]")]
+    if schema.kind == "object":
+        unknown = [] if schema.open else sorted(set(value) - set(schema.fields))
+        out += [f"{at}.{k} is not declared" for k in unknown]
+        out += [r for k in sorted(schema.fields) for r in reasons(schema.fields[k], value.get(k), f"{at}.{k}")]
+    return out

@@ -136,3 +136,10 @@ def queue_view(now: int, ttl: int) -> Column:
         (F.col("wake_at").isNotNull(), "scheduled"),
     ]
     return reduce(lambda out, case: out.when(*case), cases[1:], F.when(*cases[0])).otherwise(F.col("status"))
+
+
+def next_preference(limit: int, preference: str, claimed: bool) -> str:
+    """Claims of a single run take turns between the classes; a failed claim does not use up a turn."""
+    if limit != 1 or not claimed:
+        return preference
+    return "expired" if preference == "ready" else "ready"

@@ -80,6 +80,13 @@ def schedule_delta(transitions: DataFrame) -> DataFrame:
     return transitions.groupBy("scope_key").agg(F.sum(move).alias("delta"))
 
 
+def retention_policy(event_age: int, run_age: int) -> tuple[int, int]:
+    """Ages in microseconds after which events and runs go; a run's events may not outlive it."""
+    if min(event_age, run_age) <= 0 or event_age > run_age:
+        raise ValueError("ages are positive, and events are kept no longer than runs")
+    return event_age, run_age
+
+
 def prune_events(events: DataFrame, cutoff: int, batch: int) -> DataFrame:
     """The oldest events before the cutoff, at most batch of them."""
     return events.filter(F.col("occurred_at") < cutoff).orderBy("occurred_at", "run_id", "seq").limit(batch)

@@ -286,7 +286,7 @@ class Engine:
         """
         attempts = max([n.max_attempts for n in self.graph.nodes.values()], default=1)
         if not self.graph.cycles() and attempts == 1:
-            left = min(self.limit, len(self.nodes)) + 1
+            left = min(self.limit, self.graph.depth()) + 1
             while left > 0:
                 for _ in range(min(left, every)):
                     runs = self.step(runs)
@@ -310,10 +310,14 @@ class Engine:
         for n in gates:
             schema = self.graph.fields[self.graph.nodes[n].resume].schema
             valid = F.size(violations(schema, F.col(f"_a_{n}.value").cast(schema.spark_type()), n)) == 0
+            asked = self.graph.nodes[n].answer
+            if asked is not None:
+                valid = valid & (F.size(violations(asked, F.col(f"_a_{n}.value").cast(asked.spark_type()), n)) == 0)
             opened = F.coalesce(F.array_contains(F.split("waiting", ","), n), F.lit(False))
             fate[n] = (
                 F.when(F.col(f"_a_{n}").isNull(), F.lit(None).cast("string"))
                 .when(F.col("status").isin("done", "failed", "cancelled"), "inactive_run")
+                .when(~opened & F.exists("trace", lambda e: e.endswith(f":interrupt_resolved:{n}")), "already_resolved")
                 .when(~opened, "not_found")
                 .when(~valid, "invalid_value")
                 .otherwise("resolved")
@@ -332,19 +336,22 @@ class Engine:
             name, here = self.graph.nodes[n].resume, F.col(f"_f_{n}")
             f = self.graph.fields[name]
             new = self._reduced(name, f.reducer, [(here, F.col(f"_a_{n}.value").cast(f.schema.spark_type()))])
+            said = [F.concat(F.col("step").cast("string"), F.lit(e)) for e in (f":interrupt_resolved:{n}", f":channel_updated:{name}", ":checkpoint_committed:")]
+            rows = rows.withColumn("trace", F.when(here, F.concat("trace", F.array(*said))).otherwise(F.col("trace")))
             rows = rows.withColumns({f"v_{name}": F.when(here, new).otherwise(F.col(f"v_{name}")), f"n_{name}": F.col(f"n_{name}") + here.cast("int"), f"w_{name}": here | F.col(f"w_{name}")})
         some = _any([F.col(f"_f_{n}") for n in fate])
         return rows.withColumn("status", F.when(some, "running").otherwise(F.col("status"))).drop(*[f"_{p}_{n}" for n in fate for p in "af"])
 
     def resolutions(self, runs: DataFrame, answers: DataFrame) -> DataFrame:
-        """(run_id, node, outcome) of the answers to known runs: resolved, inactive_run, not_found or invalid_value."""
+        """(run_id, node, outcome) of the answers to known runs: resolved, inactive_run, already_resolved, not_found or invalid_value."""
         rows, fate = self._answers(runs, answers)
         each = F.explode(F.array(*[F.struct(F.lit(n).alias("node"), c.alias("outcome")) for n, c in fate.items()]))
         return rows.select("run_id", each.alias("e")).select("run_id", "e.*").filter("outcome is not null")
 
     def cancel(self, runs: DataFrame, which: Column) -> DataFrame:
         live = F.col("status").isin("running", "waiting") & which
-        return runs.withColumn("status", F.when(live, "cancelled").otherwise(F.col("status")))
+        said = F.array(*[F.concat(F.col("step").cast("string"), F.lit(e)) for e in (":run_cancelled:", ":checkpoint_committed:")])
+        return runs.withColumns({"trace": F.when(live, F.concat("trace", said)).otherwise(F.col("trace")), "status": F.when(live, "cancelled").otherwise(F.col("status"))})
 
     def outputs(self, runs: DataFrame) -> DataFrame:
         """Every declared output; a field never written is null, its default does not show."""

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column
 
 from ..functions.guards import Guard, Path
-from ..functions.schemas import Schema
+from ..functions.schemas import Schema, reasons
 
 START, FINISH = "$start", "$finish"
 PUBLIC_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*\Z")
@@ -41,7 +41,8 @@ class Field:
 class Node:
     """update: field -> column from the view; fails and interrupts: conditions under which an attempt does so.
 
-    implementation and config name what built the node; only such nodes have a wire form.
+    implementation and config name what built the node; only such nodes have a wire form.  branches: groups of
+    outgoing edges of which one is meant to be taken.  answer: what an answer to its interrupt must satisfy.
     """
 
     update: dict[str, Callable[[Any], Column]] = field(default_factory=dict)
@@ -51,6 +52,8 @@ class Node:
     max_attempts: int = 1
     implementation: str | None = None
     config: dict[str, Any] = field(default_factory=dict)
+    branches: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    answer: Schema | None = None
 
 
 @dataclass(frozen=True)
@@ -86,6 +89,7 @@ class Graph:
     outputs: dict[str, str] = field(default_factory=dict)
     max_supersteps: int | None = None
     metadata: dict[str, Any] = field(default_factory=dict)
+    output_schemas: dict[str, Schema] = field(default_factory=dict)
 
     def put_input(self, name: str, what: Field) -> Graph:
         rest = {k: v for k, v in self.fields.items() if k != name}
@@ -126,8 +130,9 @@ class Graph:
     def delete_edge(self, name: str) -> Graph:
         return replace(self, edges={k: v for k, v in self.edges.items() if k != name})
 
-    def put_output(self, name: str, source: str | None = None) -> Graph:
-        return replace(self, outputs=self.outputs | {name: source or name})
+    def put_output(self, name: str, source: str | None = None, schema: Schema | None = None) -> Graph:
+        schemas = {k: v for k, v in self.output_schemas.items() if k != name} | ({name: schema} if schema else {})
+        return replace(self, outputs=self.outputs | {name: source or name}, output_schemas=schemas)
 
     def channels(self) -> dict[str, Field]:
         return self.inputs | self.fields
@@ -141,7 +146,9 @@ class Graph:
             if isinstance(x, (Field, Schema, Reducer)):
                 return {k: plain(v) for k, v in vars(x).items() if v not in (None, (), {}, False)}
             if isinstance(x, Node):
-                built = {"implementation": x.implementation, "config": plain(x.config)} if x.implementation else {}
+                extra = {"branches": plain(x.branches)} if x.branches else {}
+                extra |= {"answer": plain(x.answer)} if x.answer else {}
+                built = extra | {"implementation": x.implementation, "config": plain(x.config)} if x.implementation else extra
                 return {"update": sorted(x.update), "resume": x.resume, "max_attempts": x.max_attempts} | built
             if isinstance(x, Edge):
                 return {"from": plain(x.source), "to": x.target, "guard": plain(x.guard)}
@@ -174,6 +181,14 @@ class Graph:
                     grown = True
         return seen & set(self.nodes)
 
+    def depth(self) -> int:
+        """Nodes on the longest path of a graph without cycles."""
+        before = {n: {s for e in self.edges.values() if e.target == n for s in e.sources if s in self.nodes} for n in self.nodes}
+        long: dict[str, int] = {}
+        while len(long) < len(before):
+            long |= {n: 1 + max((long[s] for s in b), default=0) for n, b in before.items() if n not in long and b <= set(long)}
+        return max(long.values(), default=0)
+
     def cycles(self) -> list[set[str]]:
         """Strongly connected components with a cycle, by two depth-first passes."""
         after: dict[str, set[str]] = {n: set() for n in self.nodes}
@@ -225,14 +240,26 @@ class Graph:
         for name, f in channels.items():
             self._verify_field(name, f, add)
         for name, source in self.outputs.items():
-            if source not in channels:
+            if not isinstance(source, str):
+                add("invalid_record", f"outputs.{name}")
+            elif source not in channels:
                 add("unknown_output_source", f"outputs.{name}")
+            elif name in self.output_schemas and channels[source].schema and not self.output_schemas[name].covers(channels[source].schema):
+                add("incompatible_output_schema", f"outputs.{name}")
         for name, node in self.nodes.items():
             for target in node.update:
                 if target not in self.fields:
                     add("invalid_node_config", f"nodes.{name}")
             if node.interrupts is not None and node.resume not in self.fields:
                 add("invalid_node_config", f"nodes.{name}")
+            if isinstance(node.max_attempts, bool) or not isinstance(node.max_attempts, int) or node.max_attempts < 1:
+                add("invalid_policy", f"nodes.{name}")
+            self._verify_branches(name, node, add)
+        # Fields, nodes and edges become columns, whose names Spark compares without case.
+        for kind, names in (("fields", channels), ("nodes", self.nodes), ("edges", self.edges)):
+            for name in names:
+                if any(other < name and other.lower() == name.lower() for other in names):
+                    add("runtime_id_collision", f"{kind}.{name}")
         if self.max_supersteps is not None and (isinstance(self.max_supersteps, bool) or not isinstance(self.max_supersteps, int) or self.max_supersteps < 1):
             add("invalid_policy", "policies.max_supersteps")
         for name, edge in self.edges.items():
@@ -241,11 +268,35 @@ class Graph:
         self._verify_usage(add)
         return sorted(out, key=lambda d: (d.where, d.code))
 
+    def _verify_branches(self, name: str, node: Node, add: Callable) -> None:
+        taken: set[str] = set()
+        for group, members in node.branches.items():
+            for e in members:
+                where = f"nodes.{name}.branches.{group}"
+                if e in taken:
+                    add("duplicate_branch_edge", where)
+                taken.add(e)
+                if e not in self.edges:
+                    add("unknown_branch_edge", where)
+                elif name not in self.edges[e].sources:
+                    add("branch_edge_source_mismatch", where)
+                elif self.edges[e].guard is None:
+                    add("unguarded_branch_edge", where, "warning")
+
     def _verify_field(self, name: str, f: Field, add: Callable) -> None:
         where = f"fields.{name}"
+        if not isinstance(f, Field):
+            add("invalid_field", where)
+            return
         if f.schema is None:
             add("missing_field_schema", where)
             return
+        if not f.schema.sound():
+            add("invalid_schema", where)
+        try:
+            json.dumps(f.default, allow_nan=False)
+        except (TypeError, ValueError):
+            add("non_durable_graph_value", where)
         allowed = FOLDS.get(f.reducer.kind)
         if f.reducer.kind not in (*FOLDS, "last_value", "first_value") or f.reducer.max_length is not None and f.reducer.max_length < 1:
             add("invalid_reducer", where)
@@ -253,11 +304,8 @@ class Graph:
             add("reducer_schema_mismatch", where)
         if f.reducer.kind == "append" and f.schema.kind == "list" and f.schema.item is not None and f.schema.item.kind == "list":
             add("ambiguous_list_write", where, "warning")
-        kinds = {"string": str, "integer": int, "float": (int, float), "boolean": bool, "list": (list, tuple), "map": dict, "object": dict}
-        if f.default is not None and f.schema.kind in kinds:
-            fits = isinstance(f.default, kinds[f.schema.kind]) and not (isinstance(f.default, bool) and f.schema.kind in ("integer", "float"))
-            if not fits:
-                add("invalid_field_default", where)
+        if f.default is not None and f.schema.sound() and reasons(f.schema, f.default, name):
+            add("invalid_field_default", where)
 
     def _verify_edge(self, name: str, edge: Edge, channels: dict[str, Field], add: Callable) -> None:
         where = f"edges.{name}"

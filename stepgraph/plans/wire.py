@@ -8,14 +8,27 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping
-from dataclasses import MISSING, fields, replace
+from dataclasses import MISSING, dataclass, fields, replace
 from typing import Any
 
 from ..functions.guards import Guard, Path
-from ..functions.schemas import Schema
+from ..functions.schemas import Schema, reasons
 from .graph import Edge, Field, Graph, Node, Reducer
 
 VERSION = 1
+
+
+@dataclass(frozen=True)
+class Implementation:
+    """Builds nodes from a config; the declared config fields are checked and their defaults filled in when a node is built."""
+
+    build: Callable[[dict[str, Any]], Node]
+    config: dict[str, Field] | None = None
+
+    def __call__(self, config: dict[str, Any]) -> Node:
+        return self.build(config)
+
+
 Registry = Mapping[str, Callable[[dict[str, Any]], Node]]
 
 
@@ -27,9 +40,22 @@ class DocumentError(ValueError):
 
 def built(registry: Registry, name: str, config: dict[str, Any] | None = None, **changes: Any) -> Node:
     """A node of a registered implementation."""
+    if name is None:
+        raise DocumentError("missing_node_implementation", "nodes")
     if name not in registry:
-        raise DocumentError("unknown_implementation", name)
-    return replace(registry[name](dict(config or {})), implementation=name, config=dict(config or {}), **changes)
+        raise DocumentError("unsupported_node_implementation", str(name))
+    if not callable(registry[name]):
+        raise DocumentError("invalid_node_implementation", name)
+    config, declared = dict(config or {}), getattr(registry[name], "config", None)
+    if declared is not None:
+        if any(not isinstance(f, Field) or f.schema is None or not f.schema.sound() for f in declared.values()):
+            raise DocumentError("invalid_node_config_schema", name)
+        config = {k: f.default for k, f in declared.items() if f.default is not None} | config
+        wrong = sorted(set(config) - set(declared)) + [k for k, f in declared.items() if f.required and config.get(k) is None]
+        wrong += [r for k, f in declared.items() if k in config for r in reasons(f.schema, config[k], k)]
+        if wrong:
+            raise DocumentError("invalid_node_config", f"{name}: {wrong[0]}")
+    return replace(registry[name](config), implementation=name, config=config, **changes)
 
 
 def _dumped(x: Any) -> Any:
@@ -61,14 +87,15 @@ def to_map(graph: Graph) -> dict[str, Any]:
     def node(name: str, n: Node) -> dict[str, Any]:
         if n.implementation is None:
             raise DocumentError("unregistered_implementation", f"nodes.{name}")
-        return {"implementation": n.implementation, "config": _dumped(n.config), "max_attempts": n.max_attempts}
+        extra = ({"branches": _dumped(n.branches)} if n.branches else {}) | ({"answer": _dumped(n.answer)} if n.answer else {})
+        return {"implementation": n.implementation, "config": _dumped(n.config), "max_attempts": n.max_attempts} | extra
 
     return {
         "schema_version": VERSION,
         "id": graph.id,
         "inputs": _dumped(graph.inputs),
         "fields": _dumped(graph.fields),
-        "outputs": {k: {"source": v} for k, v in graph.outputs.items()},
+        "outputs": {k: {"source": v} | ({"schema": _dumped(graph.output_schemas[k])} if k in graph.output_schemas else {}) for k, v in graph.outputs.items()},
         "nodes": {k: node(k, v) for k, v in graph.nodes.items()},
         "edges": {k: {"from": _dumped(v.source), "to": v.target} | ({"guard": _dumped(v.guard)} if v.guard else {}) for k, v in graph.edges.items()},
         "policies": {} if graph.max_supersteps is None else {"max_supersteps": graph.max_supersteps},
@@ -145,8 +172,11 @@ def _edge(x: Any, where: str) -> Edge:
 
 
 def _node(x: Any, where: str, registry: Registry) -> Node:
-    x = _known(x, where, "implementation", "config", "max_attempts")
-    return built(registry, x.get("implementation"), x.get("config"), max_attempts=x.get("max_attempts", 1))
+    x = _known(x, where, "implementation", "config", "max_attempts", "branches", "answer")
+    changes = {"max_attempts": x.get("max_attempts", 1), "branches": {k: _tuples(v) for k, v in _items(x.get("branches", {}), where).items()}}
+    if "answer" in x:
+        changes["answer"] = _schema(x["answer"], f"{where}.answer")
+    return built(registry, x.get("implementation"), x.get("config"), **changes)
 
 
 def from_map(document: Any, registry: Registry) -> Graph:
@@ -163,7 +193,8 @@ def from_map(document: Any, registry: Registry) -> Graph:
         fields=each("fields", _field),
         nodes=each("nodes", lambda v, at: _node(v, at, registry)),
         edges=each("edges", _edge),
-        outputs=each("outputs", lambda v, at: _known(v, at, "source").get("source")),
+        outputs=each("outputs", lambda v, at: _known(v, at, "source", "schema").get("source")),
+        output_schemas={k: _schema(v["schema"], f"outputs.{k}.schema") for k, v in _items(top.get("outputs", {}), "outputs").items() if "schema" in v},
         max_supersteps=_known(top.get("policies", {}), "policies", "max_supersteps").get("max_supersteps"),
         metadata=_items(top.get("metadata", {}), "metadata"),
     )

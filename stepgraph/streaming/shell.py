@@ -60,12 +60,12 @@ class RunShell:
         log = self.engine.log(rows.select("run_id", "trace")).join(rows.select("run_id", "logged"), "run_id").filter("seq > logged").drop("logged")
         moved = (F.size("trace") > F.col("logged")) | over
         rows = rows.withColumns({"logged": F.size("trace"), "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))})
-        self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over).drop("trace"), "events": log}, batch)
+        self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over).withColumn("trace", F.filter("trace", lambda e: e.contains(":interrupt_resolved:"))), "events": log}, batch)
         return True
 
     def runs(self) -> DataFrame:
         """The state of every run, live or finished."""
-        return self.store.read("live").drop("trace").unionByName(self.store.appended("finished"))
+        return self.store.read("live").unionByName(self.store.appended("finished"))
 
     def outputs(self) -> DataFrame:
         return self.engine.outputs(self.runs())

@@ -41,7 +41,7 @@ def test_wire_round_trip_keeps_identity():
         (lambda d: d["fields"]["draft"]["schema"].update(kind="no"), "invalid_document"),
         (lambda d: d.update(schema_version=2), "unsupported_schema_version"),
         (lambda d: d.pop("id"), "invalid_document"),
-        (lambda d: d["nodes"]["a"].update(implementation="gone"), "unknown_implementation"),
+        (lambda d: d["nodes"]["a"].update(implementation="gone"), "unsupported_node_implementation"),
         (lambda d: d.update(nodes=[]), "invalid_document"),
         (lambda d: d["edges"]["e1"].update(guard={"$guard": "exists"}), "invalid_guard"),
     ],
@@ -59,6 +59,31 @@ def test_nodes_of_functions_have_no_wire_form():
         wire.to_map(Graph("g").put_node("n", Node()))
 
 
+def test_config_is_checked_and_filled_in():
+    declared = {"to": Field(Schema("string"), required=True), "n": Field(Schema("integer", max=9), default=3)}
+    registry = {"put": wire.Implementation(lambda c: Node({c["to"]: lambda v: F.lit(c["n"])}), declared), "bad": wire.Implementation(lambda c: Node(), {"x": Field(None)}), "no": 1}
+    assert wire.built(registry, "put", {"to": "a"}).config == {"to": "a", "n": 3}
+    for name, config, code in (("put", {}, "invalid_node_config"), ("put", {"to": "a", "n": 10}, "invalid_node_config"), ("put", {"to": "a", "x": 1}, "invalid_node_config"), ("bad", {}, "invalid_node_config_schema"), ("no", {}, "invalid_node_implementation"), (None, {}, "missing_node_implementation")):
+        with pytest.raises(wire.DocumentError) as error:
+            wire.built(registry, name, config)
+        assert error.value.code == code
+
+
+def test_more_diagnostics():
+    codes = lambda g: {d.code for d in g.verify()}
+    g = graph()
+    assert not codes(g)
+    assert {"unknown_branch_edge", "branch_edge_source_mismatch", "duplicate_branch_edge", "unguarded_branch_edge"} <= codes(g.update_node("b", branches={"x": ("e0", "nope"), "y": ("e0", "e2")}))
+    assert "incompatible_output_schema" in codes(g.put_output("out", schema=Schema("integer"))) and not codes(g.put_output("out", schema=Schema("string")))
+    assert "runtime_id_collision" in codes(g.put_field("OUT", Field(TEXT)))
+    assert "invalid_schema" in codes(g.update_field("draft", schema=Schema("string", pattern="(")))
+    assert "invalid_schema" in codes(g.update_field("draft", schema=Schema("integer", min=2, max=1)))
+    assert "non_durable_graph_value" in codes(g.update_field("draft", default=float("nan")))
+    assert "invalid_field_default" in codes(g.update_field("draft", default="longer than nine"))
+    assert "invalid_field" in codes(g.put_field("f", None)) and "invalid_record" in codes(g.put_output("o", 5))
+    assert "invalid_policy" in codes(g.update_node("a", max_attempts=0))
+
+
 def test_edits():
     g = graph()
     assert g.update_edge("e2", target="a").edges["e2"].target == "a"

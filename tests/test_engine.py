@@ -69,8 +69,8 @@ def test_two_gates_of_one_run_are_answered_together_or_one_by_one(spark):
     after = engine.run(engine.resolve(rows, answers))
     got = {r.run_id: (r.status, r.out) for r in engine.outputs(after).collect()}
     assert got == {1: ("done", ["w", "y"]), 2: ("waiting", ["z"]), 3: ("waiting", None)}
-    late = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], answers.schema)
-    assert {r.run_id: r.outcome for r in engine.resolutions(after, late).collect()} == {1: "inactive_run", 2: "not_found"}
+    late = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "b", "x")], answers.schema)
+    assert {r.run_id: r.outcome for r in engine.resolutions(after, late).collect()} == {1: "inactive_run", 2: "already_resolved", 3: "resolved"}
 
 
 def test_failed_attempts_show_in_the_log_and_write_nothing(spark):
