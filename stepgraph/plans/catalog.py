@@ -187,6 +187,7 @@ def invariant_report(spark, d):
 # Listings and pages
 
 _COLUMNS = ", ".join(store.SUMMARY)
+_CALLERS = "runs AS (SELECT CAST(c_custkey AS VARCHAR) AS run_id FROM customer)"
 
 
 @query(f"SELECT {_COLUMNS} FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 101", RUNS)
@@ -214,9 +215,9 @@ def event_page(spark, d):
     return store.event_page(events_log(spark, d), "7", 10, 20)
 
 
-@query("SELECT runs.run_id, first_seq, latest_seq FROM (SELECT run_id FROM runs) runs LEFT JOIN (SELECT run_id, min(seq) AS first_seq, max(seq) AS latest_seq FROM events_log GROUP BY run_id) b USING (run_id)", "runs AS (SELECT CAST(range AS VARCHAR) AS run_id FROM range(0, 200))", EVENTS)
+@query("SELECT runs.run_id, first_seq, latest_seq FROM (SELECT run_id FROM runs) runs LEFT JOIN (SELECT run_id, min(seq) AS first_seq, max(seq) AS latest_seq FROM events_log GROUP BY run_id) b USING (run_id)", _CALLERS, EVENTS)
 def event_page_bounds(spark, d):
-    names = spark.range(200).select(F.col("id").cast("string").alias("run_id"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
     return store.event_bounds(events_log(spark, d), names)
 
 
@@ -225,9 +226,9 @@ def latest_event(spark, d):
     return store.latest_event(events_log(spark, d))
 
 
-@query("SELECT runs.run_id, e.seq, e.type FROM runs LEFT JOIN events_log e ON e.run_id = runs.run_id AND e.seq = 70", "runs AS (SELECT CAST(range AS VARCHAR) AS run_id FROM range(0, 200))", EVENTS)
+@query("SELECT runs.run_id, e.seq, e.type FROM runs LEFT JOIN events_log e ON e.run_id = runs.run_id AND e.seq = 70", _CALLERS, EVENTS)
 def point_event_left_join(spark, d):
-    names = spark.range(200).select(F.col("id").cast("string").alias("run_id"))
+    names = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
     return store.point_event(names, events_log(spark, d), 70)
 
 

@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and units of the state algebra."""
 
+import json
 from pathlib import Path
 
 import duckdb
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from stepgraph.functions import guards as G
 from stepgraph.functions import reducers as R
 from stepgraph.functions.schemas import Schema, violations
-from stepgraph.operators import reach
+from stepgraph.operators import admission, reach, store
 from stepgraph.plans import catalog, flows
 from stepgraph.plans.engine import Engine
 from stepgraph.plans.graph import FINISH, START, Field, Graph, Node, Reducer
@@ -123,9 +124,41 @@ def test_fan_in_needs_all_its_sources(spark):
     assert {r.node for r in reach.reachable(edges, start).collect()} == {0, 2, 3}
 
 
+def test_queries_without_sql_against_brute_force(spark):
+    lines = [r.asDict() for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_suppkey", "l_partkey").collect()]
+    graphs = {}
+    for x in lines:
+        graphs.setdefault(x["l_orderkey"], set()).add((x["l_suppkey"] % 8, x["l_partkey"] % 8))
+    want = set()
+    for graph, pairs in graphs.items():
+        needs = {}
+        for source, target in pairs:
+            needs.setdefault((target, source % 3), set()).add(source)
+        seen = {min(s for s, _ in pairs)}
+        while more := {t for (t, _), sources in needs.items() if sources <= seen} - seen:
+            seen |= more
+        want |= {(graph, n) for n in seen}
+    assert {tuple(r) for r in catalog.QUERIES["graph_and_reachability"](spark, DATA).collect()} == want
+
+    state = {}
+    for r in spark.read.parquet(f"{DATA}/events.parquet").orderBy("ts").collect():
+        held = state.setdefault(str(r.user_id), {})
+        held[r.event_type] = {**held.get(r.event_type, {}), **json.loads(r.props)}
+    assert {r.run_id: json.loads(r.value) for r in catalog.QUERIES["reduce_merge_deep"](spark, DATA).collect()} == state
+
+
+def test_answers_of_next_preference_and_retention_policy():
+    assert [admission.next_preference(*x) for x in ((1, "ready", True), (1, "expired", True), (1, "ready", False), (2, "ready", True))] == ["expired", "ready", "ready", "ready"]
+    assert store.retention_policy(1, 1) == (1, 1)
+    for ages in ((2, 1), (0, 1)):
+        with pytest.raises(ValueError):
+            store.retention_policy(*ages)
+
+
 def test_snapshot_commit_is_fenced(spark, tmp_path):
-    store = SnapshotStore(spark, f"file://{tmp_path}/s")
-    assert store.commit({"runs": spark.range(3)}, 0) == 1
+    tables = SnapshotStore(spark, f"file://{tmp_path}/s")
+    assert tables.commit({"runs": spark.range(3)}, 0) == 1
     with pytest.raises(RuntimeError):
-        store.commit({"runs": spark.range(9)}, 0)
-    assert store.read("runs").count() == 3
+        tables.commit({"runs": spark.range(9)}, 0)
+    assert tables.read("runs").count() == 3 and tables.commit({"runs": spark.range(2)}, 1) == 2
+    assert tables.read("runs").count() == 2 and tables.appended("runs").count() == 5
