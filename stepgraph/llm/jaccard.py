@@ -1,0 +1,262 @@
+"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+
+Texts whose shingle sets have a similarity of at least 4/5 are linked, and a group is a connected component.
+No pair is left to chance: under any one total order of the shingles, two such sets share one of the first
+n - ceil(4n / 5) + 1 shingles of each, so every text is listed under these (prefix filter), and pairs of a list
+whose sizes and positions do not rule them out are compared with whole sets.  The order puts shingles that a
+bounded sample holds often last, so a common passage makes no long list; the sample changes the cost only.
+Equal sets are compared once.  Neighbours in the lists of the FIRST shingles are compared beforehand, and pairs
+already connected are not compared again, so a group of n near copies costs about n comparisons.
+
+Defined cases: texts of fewer words than a shingle have one shingle, all their words; texts without a word
+(null, empty, blank) have none and are one group.  Shingles are 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import checkpoint, internal, lower_ascii
+from .components import components
+
+SEED = 42
+SHINGLE = 5
+#: Sets are alike from a Jaccard similarity of 4/5 on.
+UP, DOWN = 4, 5
+#: Shingles of a text whose lists are compared beforehand.
+FIRST = 4
+#: Texts in the sample that orders the shingles, about; shingles it can put last; least texts of the sample that hold one.
+SAMPLE, HEAVY, OFTEN = 2_000, 200_000, 3
+#: Bits of the filter that spares most rows a shuffle.
+BITS = 1 << 24
+#: Pairs handed on at a time.
+CHUNK = 100_000
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the shingles of a text whose A-Z are lower-cased already, in order."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + width]), SEED) for i in range(n)), "u8", n))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DOWN * both >= UP * (len(a) + len(b) - both)
+
+
+def prefix(found: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles a text is listed under, rare ones first; heavy is sorted."""
+    n = len(found)
+    if not n:
+        return found
+    weight = np.zeros(n, "int64")
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, found), len(heavy) - 1)
+        weight = np.where(heavy[at] == found, counts[at], 0)
+    return found[np.lexsort((found, weight))][: n + (-UP * n) // DOWN + 1]
+
+
+def _spots(key: Column) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(s), key), F.lit(BITS)) for s in (1, 2)])
+
+
+def _maybe(rows: DataFrame, ids: DataFrame, key: str) -> Column:
+    """A condition true for every row of rows whose key is in ids, and for few others while ids are few."""
+    spots = ids.select(F.explode(_spots(F.col(key))).alias("p"))
+    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    bits = np.zeros(BITS // 64, "i8")
+    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bits.view("u8"))
+
+    @F.pandas_udf("boolean")
+    def hit(p, q):
+        held = sent.value
+        return (held[p // 64] >> (p % 64).astype("u8") & held[q // 64] >> (q % 64).astype("u8") & np.uint64(1)).astype(bool)
+
+    spot = _spots(F.col(key))
+    return hit(spot[0], spot[1])
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return rows.filter(_maybe(rows, ids, key)).join(ids, key, "left_semi")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    hit = _maybe(rows, ids, key)
+    return rows.filter(~hit).unionByName(rows.filter(hit).join(ids, key, "left_anti"))
+
+
+def _digests(texts: DataFrame, width: int) -> DataFrame:
+    """(_id, _digest) of the shingle set of each row of texts (_id, _text)."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for frame in frames:
+            found = [xxhash.xxh128_digest(shingles(x.as_py(), width).tobytes()) for x in frame.column(1)]
+            yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(found, pa.binary())], ["_id", "_digest"])
+
+    return texts.select("_id", "_text").mapInArrow(run, "_id long, _digest binary")
+
+
+def _heavy(texts: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts of a sample hold, sorted, and in how many."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for x in frame.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(x.as_py(), width).view("i8"))], ["s"])
+
+    some = texts.filter(F.pmod(F.xxhash64("_id"), F.lit(max(1, -(-rows // SAMPLE)))) == 0).select("_text")
+    counts = some.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "s").limit(HEAVY).toArrow()
+    heavy, n = got.column(0).to_numpy().view("u8"), got.column(1).to_numpy()
+    order = np.argsort(heavy)
+    return heavy[order], n[order]
+
+
+def _lists(texts: DataFrame, most: tuple, width: int, first: int | None = None) -> DataFrame:
+    """(s, _id, _root, n, at): each text (_id, _root, _text) under the shingles of its prefix, or the first of them."""
+    sent = texts.sparkSession.sparkContext.broadcast(most)  # at most HEAVY shingles
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            for key, root, x in zip(*(frame.column(i) for i in range(3)), strict=True):
+                found = shingles(x.as_py(), width)
+                s = prefix(found, *sent.value)[:first]
+                m = len(s)
+                columns = [s.view("i8"), np.full(m, key.as_py()), np.full(m, root.as_py()), np.full(m, len(found), "i4"), np.arange(m, dtype="i4")]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["s", "_id", "_root", "n", "at"])
+
+    return texts.select("_id", "_root", "_text").mapInArrow(run, "s long, _id long, _root long, n int, at int")
+
+
+def pairs_of(ids: np.ndarray, roots: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list, sorted by n, of different roots that may be alike."""
+    n, at = n.astype("i8"), at.astype("i8")
+    last = np.searchsorted(n * UP, n * DOWN, "right")  # the smaller has at least 4/5 of the larger
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, last[i])
+        j = j[roots[j] != roots[i]]
+        most = np.minimum(at[j], at[i]) + 1 + np.minimum(n[j] - at[j], n[i] - at[i]) - 1  # shingles that both can hold
+        j = j[(UP + DOWN) * most >= UP * (n[j] + n[i])]
+        if len(j):
+            yield np.minimum(ids[j], ids[i]), np.maximum(ids[j], ids[i])
+
+
+def _candidates(lists: DataFrame) -> DataFrame:
+    """(a, b): every pair that shares a list, has different roots and may be alike."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        made: list[tuple] = []
+        size = 0
+
+        def whole(columns: tuple) -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            s = columns[0]
+            ends = np.flatnonzero(np.append(s[1:] != s[:-1], True)) + 1
+            starts = np.append(0, ends[:-1])
+            for x, y in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
+                for a, b in pairs_of(*(c[x:y] for c in columns[1:])):
+                    made.append((a, b))
+                    size += len(a)
+                    if size >= CHUNK:
+                        yield out()
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            columns = [pa.array(np.concatenate([m[k] for m in made])) for k in (0, 1)]
+            made.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+        for frame in frames:
+            now = tuple(c.to_numpy(zero_copy_only=False) for c in frame.columns)
+            if not len(now[0]):
+                continue
+            held.append(now)
+            if held[0][0][0] == now[0][-1]:  # one list so far
+                continue
+            columns = tuple(np.concatenate([h[k] for h in held]) for k in range(5))
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+            yield from whole(tuple(c[:cut] for c in columns))
+            held = [tuple(c[cut:] for c in columns)]
+        if held:
+            yield from whole(tuple(np.concatenate([h[k] for h in held]) for k in range(5)))
+        if made:
+            yield out()
+
+    return lists.repartition("s").sortWithinPartitions("s", "n", "_id").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Those of pairs (a, b) that are alike."""
+    pairs = checkpoint(pairs)
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
+    wanted = sides.select("_id").distinct()
+    both = sides.join(only(texts.select("_id", "_text"), wanted, "_id"), "_id").select("a", "b", "_id", "_text")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = left = right = None
+        last: tuple = (None, None)
+        for frame in frames:
+            out = []
+            for a, b, key, text in zip(frame.column(0).to_pylist(), frame.column(1).to_pylist(), frame.column(2).to_pylist(), frame.column(3), strict=True):
+                if key == a:
+                    if last[0] != a:
+                        last = (a, shingles(text.as_py(), width))
+                    before, left = (a, b), last[1]
+                else:
+                    right = shingles(text.as_py(), width)
+                    if before == (a, b) and alike(left, right):
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    return checkpoint(both.repartition("a", "b").sortWithinPartitions("a", "b", F.col("_id")).mapInArrow(run, "a long, b long"))
+
+
+def links(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """Edges (a, b) that connect the rows of texts (_id, _text), of different sets, as all pairs that are alike do."""
+    most = _heavy(texts, texts.count(), width)
+    alone = texts.withColumn("_root", F.col("_id"))
+    order = Window.partitionBy("s").orderBy("n", "_id")
+    near = _lists(alone, most, width, FIRST).withColumn("_next", F.lead("_id").over(order)).withColumn("_m", F.lead("n").over(order))
+    near = near.filter(F.col("n") * DOWN >= F.col("_m") * UP).select(F.least("_id", "_next").alias("a"), F.greatest("_id", "_next").alias("b"))
+    found = _verified(near.distinct(), texts, width)
+    roots = checkpoint(components(found).select(F.col("node").alias("_id"), F.col("root").alias("_root")))
+    hit = _maybe(texts, roots.select("_id"), "_id")
+    named = alone.filter(~hit).unionByName(
+        texts.filter(hit).join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id")).select(*alone.columns)
+    )
+    return found.unionByName(_verified(_candidates(_lists(named, most, width)), texts, width))
+
+
+def deduplicated(docs: DataFrame, width: int = SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group: the one of the smallest id (null ids last), of equal ids the first read.
+
+    docs is read several times, so it must be a table or a checkpoint, which gives its rows in one order.
+    """
+    uid = internal(docs, "_row")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    texts = rows.select(F.col(uid).alias("_id"), F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(uid).alias("u")).alias("_one"), lower_ascii(F.col(text)).alias("_text"))
+    found = checkpoint(_digests(texts, width).join(texts.select("_id", "_one"), "_id"))
+    least = checkpoint(found.groupBy("_digest").agg(F.min("_one").alias("_one")))
+    copies = checkpoint(found.join(least.select(F.col("_one.u").alias("_id")), "_id", "left_anti").select("_id"))
+    unique = without(texts.select("_id", "_text"), copies, "_id")
+    nodes = checkpoint(components(links(unique, width)))
+    grouped = nodes.withColumnRenamed("node", "_id").join(least.select(F.col("_one.u").alias("_id"), "_one"), "_id")
+    heads = grouped.groupBy("root").agg(F.min("_one").alias("_one")).select(F.col("_one.u").alias("_id"))
+    gone = checkpoint(copies.unionByName(grouped.select("_id").join(heads, "_id", "left_anti")))
+    return without(rows, gone.withColumnRenamed("_id", uid), uid).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,0 +1,60 @@
+"""Near-duplicate groups of the pipeline against a comparison of all pairs."""
+
+import random
+
+from stepgraph.llm import jaccard
+from stepgraph.llm.common import checkpoint
+
+
+def sets_of(text, width=5):
+    words = (text or "").split()
+    return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def kept_by_brute_force(rows):
+    sets = [sets_of(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    groups = {}
+    for i, (key, _) in enumerate(rows):
+        groups.setdefault(top(i), []).append(key)
+    return sorted(min(g) for g in groups.values())
+
+
+def test_near_copies_at_every_similarity(spark):
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    passage = [draw.choice(words) for _ in range(30)]
+    rows = []
+
+    def add(tokens):
+        rows.append((len(rows), " ".join(tokens)))
+
+    for _ in range(25):
+        base = [draw.choice(words) for _ in range(draw.choice([3, 12, 60, 200]))]
+        if draw.random() < 0.5:
+            base += passage
+        for edits in (0, 0, 1, 2, 4, 7):
+            more = list(base)
+            for _ in range(edits):
+                more[draw.randrange(len(more))] = draw.choice(words)
+            add(more)
+    base = [draw.choice(words) for _ in range(150)]
+    for _ in range(60):  # one large group of near copies
+        more = list(base)
+        more[draw.randrange(150)] = "x"
+        add(more)
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, " \n")]
+    draw.shuffle(rows)
+    docs = checkpoint(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept = jaccard.deduplicated(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
