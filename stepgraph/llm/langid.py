@@ -4,11 +4,11 @@ A text is lower-cased and its UTF-8 bytes, with everything in ASCII that is not
 give counts of two- and three-byte grams in hashed buckets.  Logarithmic counts times inverse document
 frequency, scaled to length 1, are compared by cosine with CLUSTERS centroids for each language (spherical
 k-means), and the nearest names the language.  A text farther from every centroid than almost all texts of
-its length were in fitting is rejected.  The model is fitted on at most FIT_ROWS documents a language and
+its length were in fitting is rejected; lengths that fitting hardly met go by the nearest ones.  The model is fitted on at most FIT_ROWS documents a language and
 MOST_ROWS in all, those of the smallest hashes of the id; predictions read whole texts.
 
 Defined cases: null texts and texts without a letter are "und" with score 0, and rejected; a table with no
-labelled document to learn from gives "und" throughout; null languages are not learned from; repeated rows
+labelled document to learn from gives "und" throughout; fewer than LEAST_IN_CLASS of them set no limit; null languages are not learned from; repeated rows
 each get their row; an empty table gives an empty result; other columns are not read.
 """
 
@@ -33,7 +33,7 @@ MOST_ROWS = 6_000
 CLUSTERS = 3
 #: Share of the fitting texts of a length class that may lie farther than the limit, and how far beyond it is still kept.
 OUTLIERS, SLACK = 0.01, 0.6
-#: Length classes with fewer fitting texts have no limit.
+#: A length class with fewer fitting texts takes its limit from the texts of its nearest classes too.
 LEAST_IN_CLASS = 20
 SEED = 11
 CHUNK = 1 << 20
@@ -103,10 +103,11 @@ def fit(counts: np.ndarray, languages: list[str], clusters: int = CLUSTERS) -> M
     model.centroids = np.concatenate(heads).astype("f4")
     cosine = (rows @ model.centroids.T).max(axis=1)
     classes = length_class(counts)
-    for c in np.unique(classes):
-        mine = cosine[classes == c]
-        if len(mine) >= LEAST_IN_CLASS:
-            model.limits[c] = SLACK * np.quantile(mine, OUTLIERS)
+    if len(cosine) >= LEAST_IN_CLASS:
+        for c in range(len(model.limits)):
+            away = np.abs(classes - c)
+            enough = np.sort(away)[LEAST_IN_CLASS - 1]
+            model.limits[c] = SLACK * np.quantile(cosine[away <= enough], OUTLIERS)
     return model
 
 

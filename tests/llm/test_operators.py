@@ -87,6 +87,15 @@ def test_language(docs, odd, spark):
     assert langid.predict(["漢字仮名" * 50], model)[2].tolist() == [False]
 
 
+def test_foreign_texts_of_every_length_are_rejected(docs):
+    model = langid.learn(docs)
+    draw = np.random.default_rng(5)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    for n in (40, 200, 10_000, 100_000, 1_000_000):
+        texts = ["".join(draw.choice(letters, n)), ("Это русский текст, которого модель не знает. " * (n // 45 + 1))[:n]]
+        assert not langid.predict(texts, model)[2].any(), n
+
+
 # 3
 
 TALK = [
