@@ -121,8 +121,9 @@ class Encoder:
     """
 
     # The cut of word_bpe_49k.json; characters whose case and classes no Unicode version changes.
+    # PLAIN leaves out the capitals up to U+024F whose lower case PIECES does not know as a letter.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\s0-9a-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
-    PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]*")
+    PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u00ac\u00ae-\u012f\u0131-\u0180\u0182-\u0185\u0187\u0188\u018b-\u018e\u0191\u0192\u0195\u0198-\u019b\u019e\u01a0-\u01a5\u01a7\u01a8\u01aa-\u01ad\u01af\u01b0\u01b3-\u01b6\u01b8-\u0239\u023b-\u023d\u023f-\u0243\u0246-\u024f]*")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer

@@ -347,6 +347,12 @@ def test_encoder_equals_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [c.ids for c in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_equals_the_tokenizer_on_every_plain_character():
+    encode = packing.Encoder(tokens())
+    texts = [w for c in map(chr, range(0x250)) for w in (f"ab{c}cd", f"AB{c}CD", f"{c}LI", f"KPALIM{c}", f"1{c}2", f"a{c}{c}b '{c}s")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [c.ids for c in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_pipeline(spark, docs):
     df = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
