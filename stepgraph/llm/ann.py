@@ -5,7 +5,8 @@ minimise h |parallel residual|^2 + |orthogonal residual|^2 with h = (d - 1) T^2
 2020), which keeps the error along the vector, the one that moves large inner products, small.  They are
 fitted on a seeded sample of at most FIT_ROWS vectors; every vector is indexed.  A query builds a table of
 16 partial products per subspace, scans the codes of a shard, and the best DEPTH rows of each shard are
-scored again with the original vectors in double precision.  Depth is per shard, so it grows with the data.
+scored again with the original vectors in double precision.  So is every other row whose approximate score and
+error bound reach the k-th of these, so copies and ties past DEPTH are met and the results are exact.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an id,
 take no part; vectors are compared only with vectors of equal dimension; repeated rows are rows of their
@@ -30,8 +31,10 @@ CODES = 16
 THRESHOLD = 0.2
 #: Vectors the codebooks are fitted on, at most and for each dimension.
 FIT_ROWS = 8_192
-#: Rows of a shard that are scored exactly for each query.
+#: Rows of a shard that are scored exactly for each query, before those that their bound leaves in reach.
 DEPTH = 256
+#: Rows scored exactly at a time.
+CHUNK = 4_096
 SEED = 7
 
 
@@ -134,13 +137,41 @@ def index_of(vectors: DataFrame, books: dict[int, np.ndarray], vector: str, key:
     return packed(vectors, shard, vector, key).mapInArrow(run, "ids binary, dim long, data binary, codes binary")
 
 
+def residuals(data: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Lengths of what the codes (two to a byte, subspaces first) leave of each vector."""
+    parts = split(data)
+    square = np.zeros(len(data))
+    for j in range(len(books)):
+        own = codes[j // 2] >> 4 if j % 2 else codes[j // 2] & 15
+        square += ((parts[:, j] - books[j][own]) ** 2).sum(axis=1)
+    return np.sqrt(square)
+
+
+def exactly(data: np.ndarray, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products of the rows at, CHUNK at a time."""
+    out = np.zeros(len(at))
+    for first in range(0, len(at), CHUNK):
+        near = data[at[first : first + CHUNK]]
+        for x in range(near.shape[1]):  # always in the order of the dimensions
+            out[first : first + CHUNK] += near[:, x] * query[x]
+    return out
+
+
 def scan(shard: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, depth: int) -> Iterator[tuple]:
-    """The k best of a shard: approximate scores from tables, then exact ones for the best depth rows."""
+    """The k best of a shard: approximate scores from tables, exact ones for the best depth rows, then for every row in reach.
+
+    A row's exact score is at most its approximate one and the product of its residual's and the query's lengths.
+    Rows for which this reaches the k-th exact score found so far are scored too, so none of the k best is missed.
+    """
     vec, data = unpack(shard["ids"], shard["dim"], shard["data"])
     n = len(vec)
     codes = np.frombuffer(shard["codes"], "u1").reshape(-1, n)
     parts = split(queries)
     m = len(books)
+    rest = residuals(data, codes, books)
+    longest = np.linalg.norm(data, axis=1).max(initial=0) + rest.max(initial=0)
+    rest = rest + (m + 4) * 2.0**-22 * longest  # rounding of the tables and their sums
+    length = np.linalg.norm(queries, axis=1)
     for first in range(0, len(queries), 128):
         some = parts[first : first + 128]
         score = np.zeros((n, len(some)), "f4")
@@ -152,12 +183,16 @@ def scan(shard: dict, ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k
         score = np.ascontiguousarray(score.T)
         for i, row in enumerate(score):
             q = first + i
+            other = vec != ids[q]
             at = np.argpartition(row, n - depth - 1)[n - depth - 1 :] if n > depth + 1 else np.arange(n)
-            at = at[vec[at] != ids[q]]
-            exact = np.zeros(len(at))
-            near, query = data[at], queries[q]
-            for x in range(near.shape[1]):  # always in the order of the dimensions
-                exact += near[:, x] * query[x]
+            at = at[other[at]]
+            exact = exactly(data, queries[q], at)
+            if n > depth + 1:
+                least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                reach = other & (row + rest * length[q] >= least)
+                reach[at] = False
+                more = np.flatnonzero(reach)
+                at, exact = np.concatenate([at, more]), np.concatenate([exact, exactly(data, queries[q], more)])
             top = best(vec[at], exact, k)
             if len(top):
                 yield q, vec[at][top], exact[top]
@@ -175,7 +210,7 @@ def nearest(
     shard: int = SHARD,
     seed: int = SEED,
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): about the k largest inner products of each query, exactly scored."""
+    """(query_id, rank, vec_id, score): the k largest inner products of each query, exactly scored."""
     spark = vectors.sparkSession
     clean = lambda df: df.filter(usable(vector, key) & F.exists(vector, lambda x: x != 0))
     books = {d: fit(rows, threshold, seed=seed) for d, rows in sample(clean(vectors), vector, key, fit_rows, seed).items()}

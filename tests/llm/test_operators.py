@@ -184,6 +184,22 @@ def test_ann_recall(spark):
 # 5
 
 
+@pytest.mark.parametrize("noise", [0, 1e-4])
+def test_ann_hot_group(noise):
+    draw = np.random.default_rng(2)
+    rows = draw.normal(size=(3000, 16))
+    rows[::3] = rows[0] + noise * draw.normal(size=(1000, 16))
+    ids = draw.permutation(3000)
+    books = ann.fit(rows[:1000])
+    codes = ann.encode(rows, books, ann.eta(16))
+    both = np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).T)
+    shard = {"ids": ids.astype("<i8").tobytes(), "dim": 16, "data": rows.astype("<f8").tobytes(), "codes": both.tobytes()}
+    for q, found, _ in ann.scan(shard, ids[:60], rows[:60], books, 20, ann.DEPTH):
+        others = np.flatnonzero(ids != ids[q])
+        exact = ann.exactly(rows, rows[q], others)
+        assert found.tolist() == ids[others][np.lexsort((ids[others], -exact))[:20]].tolist()
+
+
 def test_quality(spark, docs, odd):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     model = quality.learn(docs, labels)
