@@ -317,6 +317,13 @@ def test_main_text():
     assert html.lines_of(None) == ([], False) and html.lines_of("<p>a<!-- x -->b") == (["ab"], False)
 
 
+@pytest.mark.parametrize("around", ["form", 'div class="content-sidebar-wrap"', 'div class="container has-sidebar"'])
+def test_what_holds_the_article_is_not_dropped(around):
+    name = around.split()[0]
+    page = f"<body><{around}><nav>menu</nav><article><p>Body.</p></article></{name}><div class=sidebar>more</div></body>"
+    assert html.lines_of(page) == (["Body."], True)
+
+
 def test_differencing(spark):
     rows = [
         (1, "http://a.com/x/1", "<p>Welcome</p><p>Story one.</p><p>Foot</p>"),
