@@ -27,6 +27,8 @@ from .common import WORD, checkpoint, internal
 BINS = 4096
 #: So many of the shortest lengths give a document back before the knapsack is solved.
 RELEASED = 64
+#: Bits of the knapsack's table at most, where the first fit misses its budget.
+TABLE = 1 << 18
 #: The table of sources is held on the driver; more sources than this are refused.
 MAX_SOURCES = 1_000_000
 
@@ -53,39 +55,20 @@ def water_fill(sizes: Sequence[int], weights: Sequence[int], epochs: int) -> lis
     return targets
 
 
-def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list[int]:
-    """How many documents of each size to take so that their words come as near budget as can be found.
-
-    Sizes are distinct.  The proportional share goes first, from long to short, each length passing on
-    what it could not use; a bounded knapsack over the documents left fits the rest.
-    """
-    take = [0] * len(sizes)
-    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
-    if budget <= 0 or total <= 0:
-        return take
-    if budget >= total:
-        return [n if s else 0 for s, n in zip(sizes, counts, strict=True)]
-    order = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: sizes[i])
-    carry = 0  # in units of 1 / total words
-    for i in reversed(order):
-        share = sizes[i] * counts[i] * budget + carry
-        take[i] = min(counts[i], share // (sizes[i] * total))
-        carry = share - take[i] * sizes[i] * total
-    for i in order[:RELEASED]:  # the program below gets some short documents to choose from
-        take[i] -= take[i] > 0
-    rest = budget - sum(take[i] * sizes[i] for i in order)
+def reached(sizes: Sequence[int], free: Sequence[int], order: Sequence[int], rest: int) -> list[int]:
+    """The bounded knapsack: how many of the free documents of each size add up as near to rest as any choice does."""
     limit = 2 * rest + 1
     mask = (1 << (limit + 1)) - 1
-    reach, steps = 1, []
+    reach, steps, take = 1, [], [0] * len(sizes)
     for i in order:
-        free, part = min(counts[i] - take[i], limit // sizes[i]), 1
-        while free > 0 and not reach >> rest & 1:
-            n = min(part, free)
+        left, part = min(free[i], limit // sizes[i]), 1
+        while left > 0 and not reach >> rest & 1:
+            n = min(part, left)
             wider = (reach | reach << (sizes[i] * n)) & mask
             if wider != reach:
                 steps.append((i, n, reach))
                 reach = wider
-            free -= n
+            left -= n
             part *= 2
         if reach >> rest & 1:
             break
@@ -97,6 +80,44 @@ def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int) -> list
     return take
 
 
+def fit_budget(sizes: Sequence[int], counts: Sequence[int], budget: int, table: int = TABLE) -> list[int]:
+    """How many documents of each size to take so that their words come as near budget as can be.
+
+    Sizes are distinct.  The proportional share goes first, from long to short, each length passing on what it could
+    not use; then the RELEASED shortest lengths give a document back and a bounded knapsack over the documents left
+    fits the rest.  While words are missing or left over, every length gives back more, twice as many each time, until
+    all are free and the program's choice is the best of all; its table is kept within so many bits.
+    """
+    take = [0] * len(sizes)
+    total = sum(s * n for s, n in zip(sizes, counts, strict=True))
+    if budget <= 0 or total <= 0:
+        return take
+    if budget >= total:
+        return [n if s else 0 for s, n in zip(sizes, counts, strict=True)]
+    order = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: sizes[i])
+    carry = 0  # in units of 1 / total words
+    for i in reversed(order):
+        share = sizes[i] * counts[i] * budget + carry
+        take[i] = min(counts[i], share // (sizes[i] * total))
+        carry = share - take[i] * sizes[i] * total
+    best, miss, back = take, None, 1
+    while miss != 0:
+        kept = list(take)
+        for i in order[:RELEASED] if back == 1 else order:  # the program gets these documents to choose from
+            kept[i] = max(0, take[i] - back)
+        rest = budget - sum(kept[i] * sizes[i] for i in order)
+        if miss is not None and 2 * rest > table:
+            break
+        more = reached(sizes, [n - k for n, k in zip(counts, kept, strict=True)], order, rest)
+        gap = abs(rest - sum(more[i] * sizes[i] for i in order))
+        if miss is None or gap < miss:
+            best, miss = [k + m for k, m in zip(kept, more, strict=True)], gap
+        if not any(kept):
+            break
+        back *= 2
+    return best
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (5, 2, 1),
@@ -106,17 +127,18 @@ def mix(
     source: str = "source",
     key: str = "doc_id",
     max_sources: int = MAX_SOURCES,
+    row: str | None = None,
 ) -> DataFrame:
     """One row per document: _uid, key, size, source_size, target and taken (words the mix takes of it).
 
     Sources in the order of their code points, null last, weigh weights[0], weights[1], ..., repeating.
-    _uid is monotonically_increasing_id() over docs, so equal ids stay apart.
+    _uid tells rows of equal ids apart: the column row of docs, or a number given here.
     """
     spark = docs.sparkSession
     name = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
     narrow = checkpoint(
         docs.select(
-            F.monotonically_increasing_id().alias("_uid"),
+            (F.monotonically_increasing_id() if row is None else F.col(row)).alias("_uid"),
             F.col(key).alias(key),
             name.alias("_src"),
             word_count(F.col(text)).alias("size"),
@@ -171,12 +193,15 @@ def mix(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs itself, each document as often as the mix takes it."""
+    """docs itself, each document as often as the mix takes it.
+
+    Rows are numbered in a checkpoint first, so docs may be any plan, whatever order its rows come in.
+    """
     uid, n = internal(docs, "_mix_uid"), internal(docs, "_mix_copies")
-    copies = mix(docs, **options).filter("_copies > 0").select(F.col("_uid").alias(uid), F.col("_copies").alias(n))
-    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(copies, uid)
+    rows = checkpoint(docs.withColumn(uid, F.monotonically_increasing_id()))
+    copies = mix(rows, row=uid, **options).filter("_copies > 0").select(F.col("_uid").alias(uid), F.col("_copies").alias(n))
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    return rows.select(*kept, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(n)).select(*kept)
+    return rows.join(copies, uid).select(*kept, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))).alias(n)).select(*kept)
 
 
 def op1_mixing(spark, sf_dir):
