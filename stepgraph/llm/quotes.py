@@ -86,8 +86,10 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     reply_index counts from 0 within the conversation: threads by the turn of their root, messages by turn.
     """
     uid = F.monotonically_increasing_id()
-    base = messages.select(
-        uid.alias("_uid"), F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text")
+    base = checkpoint(  # read several times below: each message keeps its number
+        messages.select(
+            uid.alias("_uid"), F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.col(role).alias("_role"), F.coalesce(F.col(text), F.lit("")).alias("_text")
+        )
     )
     quoting = base.filter(F.col("_text").rlike("(?m)" + MARKS) & F.col("_conv").isNotNull() & F.col("_turn").isNotNull())
     # Only conversations with a quote can hold a link; the others need no line of theirs looked at.
