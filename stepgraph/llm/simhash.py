@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
+from .bitslice import lanes_of, near, planes, positions
 from .common import checkpoint, internal, lower_ascii
 from .components import components
 
@@ -34,7 +36,6 @@ RANGES = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PART = 1 << 15
 #: Shingles hashed at a time.
 CHUNK = 200_000
-ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -74,54 +75,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return docs.select(key, lower_ascii(F.col(text)).alias("_text")).mapInArrow(run, f"`{key}` {kind}, _fp long")
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """64 planes of ceil(n / 64) + 1 words; bit i % 64 of word i // 64 of plane p is bit p of values[i]."""
-    n = len(values)
-    words = -(-n // 64)
-    padded = np.zeros(words * 64, "u8")
-    padded[:n] = values
-    bits = np.unpackbits(padded.view("u1").reshape(-1, 8), axis=1, bitorder="little")
-    out = np.zeros((64, words + 1), "u8")
-    out[:, :words] = np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
-    return out
-
-
-def near(plane: np.ndarray, wanted: np.ndarray, distance: int, radius: int = RADIUS) -> np.ndarray:
-    """Of the lanes i set in the words wanted, those whose value differs from value i + distance in at most radius bits.
-
-    radius is at most 3: a two-bit counter and an overflow bit per lane.
-    """
-    skip, shift = divmod(distance, 64)
-    live = np.flatnonzero(wanted)
-    at = live + skip
-    out = np.zeros_like(wanted)
-    one = two = over = None
-    for p in range(64):
-        row = plane[p]
-        other = row[at] if not shift else row[at] >> np.uint64(shift) | row[at + 1] << np.uint64(64 - shift)
-        bit = row[live] ^ other
-        if one is None:
-            one, two, over = bit, np.zeros_like(bit), np.zeros_like(bit)
-            continue
-        carry = one & bit
-        one = one ^ bit
-        over = over | two & carry
-        two = two ^ carry
-        if p % 8 == 7:
-            done = over
-            if radius < 3:
-                done = over | (two & one if radius == 2 else two if radius == 1 else two | one)
-            left = wanted[live] & ~done
-            keep = left != 0
-            if not keep.any():
-                return out
-            if p == 63:
-                out[live[keep]] = left[keep]
-            elif keep.mean() < 0.75:  # abandon the words in which every lane is past the radius
-                live, at, one, two, over = live[keep], at[keep], one[keep], two[keep], over[keep]
-    return out
-
-
 def forest(lists: np.ndarray, values: np.ndarray, radius: int = RADIUS, cross: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Edges (i, j) of a spanning forest of the links within each list; equal lists must stand together.
 
@@ -139,18 +92,9 @@ def forest(lists: np.ndarray, values: np.ndarray, radius: int = RADIUS, cross: i
     words = plane.shape[1] - 1
     for d in range(1, int(left.max(initial=1))):
         lanes = np.flatnonzero(left > d)
-        wanted = np.zeros(words * 64, "u1")
-        wanted[lanes] = 1
-        if cross:
-            wanted[: max(0, cross - d)] = 0
-        wanted = np.packbits(wanted, bitorder="little").view("<u8").copy()
-        found = near(plane, wanted, d, radius)
-        hit = np.flatnonzero(found)
-        if not len(hit):
+        i = positions(near(plane, lanes_of(lanes[lanes >= cross - d] if cross else lanes, words), d, radius))
+        if not len(i):
             continue
-        bits = np.unpackbits(found[hit].view("u1").reshape(-1, 8), axis=1, bitorder="little").reshape(len(hit), 64)
-        w, b = np.nonzero(bits)
-        i = hit[w] * 64 + b
         j = i + d
         while True:  # hook larger roots on smaller ones until nothing is left to join
             a, z = root[i], root[j]
@@ -250,17 +194,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     )
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one row of each group: the one of the smallest id, of equal ids the first read.
+def deduplicated(docs: DataFrame, width: int = similar.SHINGLE, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of near-duplicates: the one of the smallest id (null ids last), of equal ids one.
 
-    Rows whose group has no id at all are one group as well.
+    Two rows are linked if the sets of shingles of width words of their texts (A-Z lower-cased) have a Jaccard
+    similarity of 0.8 or more; texts without a word are one group, texts of fewer words are one shingle.  A radius
+    that is exact for bit ranges, as near_duplicates has, would miss most of these, so fingerprints of 128 bits are
+    compared at a wide radius within the lists of similar.links, and what they let through is compared as sets.
+    Rows are numbered in a checkpoint first, so docs may be any plan, whatever order its rows come in.
     """
-    uid, one = internal(docs, "_row"), internal(docs, "_one")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    marked = rows.select(F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(uid).alias("u")).alias(one), text)
-    groups = near_duplicates(marked, radius, text, one)
-    kept = groups.filter(F.col(one) == F.col("component_id")).select(F.col(f"{one}.u").alias(uid))
-    return rows.join(kept, uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    uid = internal(docs, "_row")
+    rows = checkpoint(docs.withColumn(uid, F.monotonically_increasing_id()))
+    one = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col(uid).alias("u")).alias("_one")
+    texts = rows.select(F.col(uid).alias("_id"), one, lower_ascii(F.col(text)).alias("_text"))
+    found = checkpoint(similar.digests(texts, width))
+    least = checkpoint(found.groupBy("_digest").agg(F.min("_one").alias("_one")).select("_one", F.col("_one.u").alias("_id")))
+    copies = checkpoint(found.select(F.col("_one.u").alias("_id")).join(least, "_id", "left_anti"))
+    unique = similar.without(texts.select("_id", "_text"), copies, "_id")
+    nodes = checkpoint(components(similar.links(unique, least.count(), width)))
+    grouped = nodes.withColumnRenamed("node", "_id").join(least, "_id")
+    heads = grouped.groupBy("root").agg(F.min("_one").alias("_one")).select(F.col("_one.u").alias("_id"))
+    gone = checkpoint(copies.unionByName(grouped.select("_id").join(heads, "_id", "left_anti")))
+    return similar.without(rows, gone.withColumnRenamed("_id", uid), uid).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir):

@@ -9,8 +9,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stepgraph.llm import ann, html, langid, mixing, packing, quality, quotes, simhash, topk, urls
+from stepgraph.llm import ann, bitslice, html, langid, mixing, packing, quality, quotes, simhash, topk, urls
 from stepgraph.llm.common import held_out, ranked
+from test_similar import kept_by_brute_force
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,6 +72,30 @@ def test_mix_odd_rows(odd, spark):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_rows_keep_their_copies_on_any_plan(docs):
+    """A shuffled input gives its rows in another order whenever it is read."""
+    want = {r.doc_id: r._copies for r in mixing.mix(docs).collect() if r._copies}
+    for moved in (docs.repartition(8), docs.join(docs.select(F.col("doc_id").alias("other")), F.col("doc_id") == F.col("other")).drop("other")):
+        got = {r.doc_id: (r.n, r.texts) for r in mixing.mixed_documents(moved).groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set("text").alias("texts")).collect()}
+        assert {d: n for d, (n, _) in got.items()} == want
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        assert all(t == [texts[d]] * (texts[d] is not None) for d, (_, t) in got.items())
+
+
+def test_knapsack_against_every_subset():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        sizes = sorted(set(draw.integers(1, 30, draw.integers(1, 5)).tolist()))
+        counts = draw.integers(0, 4, len(sizes)).tolist()
+        budget = int(draw.integers(0, 120))
+        sums = {0}
+        for s, n in zip(sizes, counts):
+            sums = {x + k * s for x in sums for k in range(n + 1)}
+        took = mixing.fit_budget(sizes, counts, budget)
+        assert all(0 <= t <= n for t, n in zip(took, counts))
+        assert abs(sum(t * s for t, s in zip(took, sizes)) - budget) == min(abs(x - budget) for x in sums), (sizes, counts, budget)
+
+
 # 2
 
 
@@ -82,7 +107,10 @@ def test_language(docs, odd, spark):
     got = {r.doc_id: r for r in langid.identify(odd, model, keep=["doc_id"]).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and not got[i].accepted for i in (1, 2, 5))
     assert langid.identified_documents(odd).columns == odd.columns
-    assert langid.learn(odd.limit(0)) is None
+    assert langid.learn(odd.limit(0)) is None and langid.identified_documents(docs.withColumn("lang", F.lit(None).cast("string"))).count() == docs.count()
+    clash = docs.withColumns({"lang_pred": F.lit("x"), "accepted": F.lit(0)})
+    assert langid.identified_documents(clash).columns == clash.columns
+    assert langid.identify(docs.limit(0), model, keep=["doc_id"]).collect() == []
     assert langid.predict(["abc"], None)[0] == ["und"]
     assert langid.predict(["漢字仮名" * 50], model)[2].tolist() == [False]
 
@@ -131,6 +159,23 @@ def test_ranked(spark):
         assert [r[2] for r in mine] == list(range(len(mine)))
 
 
+def test_quotes_do_not_depend_on_the_order_of_rows(spark):
+    rows = []
+    for c in range(40):
+        for t in range(6):
+            quoted = "" if t == 0 else f"> line {c} {t - 1}\n" if t % 2 else f"> line {c} 0\n>> nothing\n"
+            rows.append((c, t, "user", f"{quoted}line {c} {t}\n\nline {c} 0" if t == 3 else f"{quoted}line {c} {t}"))
+    rows.append((99, 1, "user", "> long\n" + "word " * 200_000))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(df.repartition(8)).collect()}
+    assert got == {(r.conv_id, r.turn): r for r in quotes.link_quotes(df.coalesce(1)).collect()} and len(got) == len(rows)
+    for c in range(40):  # brute force: the earliest message that holds the quoted line
+        for t in range(1, 6):
+            wanted = t - 1 if t % 2 else 0
+            assert got[c, t].parent_turn == wanted and got[c, t].text.startswith(f"line {c} {t}") and got[c, t].root_turn == 0
+    assert len(got[99, 1].text) == 1_000_000 - 1 and got[99, 1].linked == 0
+
+
 # 4 and 6
 
 
@@ -296,11 +341,11 @@ def test_bit_sliced_distances(radius):
     rng = np.random.default_rng(radius)
     values = rng.integers(0, 2**63, 200, dtype="u8")
     values[1::2] = values[::2] ^ np.array([sum(1 << int(b) for b in set(rng.integers(0, 64, k % 6))) for k in range(100)], "u8")
-    plane = np.concatenate([simhash.planes(values), np.zeros((64, 1), "u8")], axis=1)
+    plane = np.concatenate([bitslice.planes(values), np.zeros((64, 1), "u8")], axis=1)
     for d in (1, 2, 63, 64, 65, 130):
         want = np.zeros(256, "u1")
         want[: 200 - d] = 1
-        found = np.unpackbits(simhash.near(plane, np.pad(np.packbits(want, bitorder="little").view("<u8"), (0, plane.shape[1] - 1 - 4)).copy(), d, radius).view("u1"), bitorder="little")
+        found = np.unpackbits(bitslice.near(plane, np.pad(np.packbits(want, bitorder="little").view("<u8"), (0, plane.shape[1] - 1 - 4)).copy(), d, radius).view("u1"), bitorder="little")
         for i in range(200 - d):
             assert found[i] == (int(values[i] ^ values[i + d]).bit_count() <= radius)
 
@@ -384,8 +429,7 @@ def test_pipeline(spark, docs):
         if name in ("quality", "language"):
             assert 0 < after.count() <= df.count()
         if name == "near_duplicates":
-            groups = simhash.near_duplicates(df)
-            assert after.count() == groups.select("component_id").distinct().count()
+            assert {r.doc_id for r in after.collect()} == set(kept_by_brute_force([(r.doc_id, r.text.lower()) for r in df.collect()]))
         if name == "mixing":
             want = {(r._uid, r._copies) for r in mixing.mix(df).collect()}
             assert after.count() == sum(n for _, n in want)
