@@ -1,8 +1,7 @@
 """The corpus pipeline: documents through five operators, each stage on all that the one before it kept.
 
-Quality classifier, language identification, near-duplicates by 5-word Jaccard similarity of 0.8 or more (one
-document of a group stays), mixing
-to target weights (a document appears as often as the mix takes it) and packing into token sequences.
+Quality classifier, language identification, SimHash near-duplicates of 5-word shingles at a similarity of 0.8 or
+more (one document of a group stays), mixing to target weights (a document appears as often as the mix takes it) and packing into token sequences.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stepgraph.llm import jaccard, langid, mixing, packing, quality
+from stepgraph.llm import langid, mixing, packing, quality, simhash
 from stepgraph.llm.common import checkpoint, table
 
 
@@ -23,7 +22,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.deduplicated(docs)
+    return simhash.deduplicated(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
