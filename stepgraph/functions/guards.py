@@ -70,6 +70,34 @@ def not_(guard: Guard) -> Guard:
     return Guard("not", (guard,))
 
 
+def _family(kind: T.DataType | None) -> str:
+    """Types whose values can be equal to one another."""
+    if isinstance(kind, (T.IntegralType, T.FractionalType)):
+        return "number"
+    return "unknown" if kind is None or isinstance(kind, T.NullType) else type(kind).__name__
+
+
+def kind_of(ref: str | Path, view: dict[str, Channel]) -> T.DataType | None:
+    """The type of what a reference names, None if it is not known or nothing."""
+    kind = view[ref if isinstance(ref, str) else ref.channel].kind
+    for segment in () if isinstance(ref, str) else ref.segments:
+        if isinstance(kind, T.StructType):
+            kind = kind[segment].dataType if segment in kind.names else None
+        else:
+            kind = getattr(kind, "valueType", None) or getattr(kind, "elementType", None)
+    return kind
+
+
+def _same(left: Column, kind: T.DataType | None, right: Column, other: T.DataType | None) -> Column:
+    """Whether two values are equal; values of unlike types are not, and are never cast into one another."""
+    families = {_family(kind), _family(other)}
+    if "unknown" not in families and len(families) == 2:
+        return left.isNull() & right.isNull()
+    if families & {"MapType", "StructType", "ArrayType"}:
+        return F.to_json(F.struct(left.alias("v"))) == F.to_json(F.struct(right.alias("v")))
+    return left.eqNullSafe(right)
+
+
 def resolve(ref: str | Path, view: dict[str, Channel]) -> tuple[Column, Column]:
     """(whether the reference resolves, its value)."""
     name, segments = (ref, ()) if isinstance(ref, str) else (ref.channel, ref.segments)
@@ -114,6 +142,10 @@ def to_column(guard: Guard, view: dict[str, Channel], written: dict[str, Column]
     if guard.op == "equals":
         there, left = resolve(guard.args[0], view)
         other = guard.args[1]
-        also, right = resolve(other, view) if isinstance(other, Path) else (F.lit(True), F.lit(other))
-        return there & also & left.eqNullSafe(right)
+        kind = kind_of(guard.args[0], view)
+        if isinstance(other, Path):
+            also, right = resolve(other, view)
+            return there & also & _same(left, kind, right, kind_of(other, view))
+        literal = {bool: T.BooleanType(), int: T.LongType(), float: T.DoubleType(), str: T.StringType()}.get(type(other))
+        return there & _same(left, kind, F.lit(other), literal)
     raise ValueError(f"unknown guard {guard.op}")

@@ -7,10 +7,31 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
+
+def compiles(pattern: str) -> bool:
+    """Whether a pattern is valid for Python, which checks values on the driver, and for Java, which checks rows."""
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    context = SparkContext._active_spark_context
+    if context is None or context._jvm is None:
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 KINDS = ("string", "integer", "float", "boolean", "map", "object", "enum", "list")
 
 
@@ -38,6 +59,26 @@ class Schema:
         if self.kind == "enum" and not self.values:
             raise ValueError("an enum needs values")
 
+    @staticmethod
+    def of(what: Any) -> Schema:
+        """A schema from its short form: "string", ("integer", {"min": 0}), ("list", item), ("enum", values) or ("object", fields), the last three with options too."""
+        if isinstance(what, Schema):
+            return what
+        if isinstance(what, str):
+            return Schema(what)
+        if not isinstance(what, tuple) or not 2 <= len(what) <= 3 or not isinstance(what[0], str):
+            raise ValueError(f"not a schema: {what!r}")
+        kind, inner, options = what[0], what[1], what[2] if len(what) == 3 else {}
+        if kind == "list":
+            return Schema(kind, item=Schema.of(inner), **options)
+        if kind == "enum":
+            return Schema(kind, values=tuple(inner), **options)
+        if kind == "object":
+            return Schema(kind, fields={k: Schema.of(v) for k, v in inner.items()}, **options)
+        if len(what) == 3 or not isinstance(inner, dict):
+            raise ValueError(f"not a schema: {what!r}")
+        return Schema(kind, **inner)
+
     def sound(self) -> bool:
         """Whether bounds are in order and patterns compile, here and inside."""
         for low, high in ((self.min, self.max), (self.min_length, self.max_length), (self.min_items, self.max_items)):
@@ -45,11 +86,8 @@ class Schema:
                 return False
         if any(n is not None and n < 0 for n in (self.min_length, self.max_length, self.min_items, self.max_items)):
             return False
-        if self.pattern is not None:
-            try:
-                re.compile(self.pattern)
-            except re.error:
-                return False
+        if self.pattern is not None and not compiles(self.pattern):
+            return False
         return all(s.sound() for s in (*self.fields.values(), *([self.item] if self.item else [])))
 
     def covers(self, other: Schema) -> bool:
@@ -88,10 +126,9 @@ def _checks(schema: Schema, value: Column, at: str) -> list[tuple[Column, str]]:
     if schema.max_length is not None:
         out.append((F.char_length(value) > schema.max_length, f"{at} must have at most {schema.max_length} characters"))
     if schema.pattern is not None:
-        try:
-            re.compile(schema.pattern)
+        if compiles(schema.pattern):
             out.append((~value.rlike(schema.pattern), f"{at} must match {schema.pattern}"))
-        except re.error:
+        else:
             out.append((value.isNotNull(), f"{at} has an invalid pattern"))
     if schema.kind == "enum":
         out.append((~value.isin(*schema.values), f"{at} must be one of {', '.join(map(str, schema.values))}"))

@@ -5,6 +5,11 @@ step wrote it; edge e has a_e (active) and, for a fan-in, s_e (sources completed
 reads only committed columns, folds the writes of all active nodes in the order of their ids, evaluates guards
 on the result, and moves on, without a shuffle.  Acyclic graphs unroll into one plan; cyclic ones are
 checkpointed every few steps and stop when no run is active.
+
+A node that may fail has t_n (its next attempt) and k_n (it succeeded and is held while a sibling is tried again); one
+with a backoff f_n too, the time before which it is not tried.  Such runs have a clock, in milliseconds: a step tries
+what is due by it, and a run in which nothing is due is parked until wake_at, the earliest of these times.  A node of
+user code has u_n, what its last attempt gave, and its runs why, the reason of the last failure.
 """
 
 from __future__ import annotations
@@ -17,7 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.guards import Channel, to_column
 from ..functions.schemas import Schema, violations
-from ..sources.snapshots import checkpoint
+from ..sources.snapshots import checkpoint, spread
+from . import calls
 from .graph import FINISH, START, Field, Graph, Reducer
 
 HOST_LIMIT = 100
@@ -76,6 +82,11 @@ def _merged(schema: Schema, left: Column, right: Column, deep: bool) -> Column:
     return F.struct(*parts)
 
 
+def parsed(value: Column, schema: Schema) -> Column:
+    """Text as a value of a schema; null for what is none, which is told from no text by the caller."""
+    return F.from_json(value, schema.spark_type()) if schema.kind in ("list", "map", "object") else value.try_cast(schema.spark_type())
+
+
 def _any(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, columns, F.lit(False))
 
@@ -88,7 +99,33 @@ class Engine:
         self.graph, self.limit = graph, graph.max_supersteps or host_limit
         self.nodes = sorted(graph.nodes)
         self.edges = sorted(graph.edges)
-        self.flaky = [n for n in self.nodes if graph.nodes[n].fails]
+        self.flaky = [n for n in self.nodes if graph.nodes[n].fails or graph.nodes[n].call]
+        self.called = [n for n in self.nodes if graph.nodes[n].call]
+        self.later = [n for n in self.flaky if graph.nodes[n].backoff_ms]
+
+    def _kinds(self, name: str) -> dict:
+        return {f: self.graph.fields[f].schema.spark_type() for f in self.graph.nodes[name].writes}
+
+    def _asks(self, name: str) -> Column | None:
+        """Whether an attempt of the node interrupts, if it can."""
+        node = self.graph.nodes[name]
+        if node.call:
+            return F.col(f"u_{name}.status") == "interrupt" if node.resume else None
+        return node.interrupts(self._view(name)) if node.interrupts else None
+
+    def _fails(self, name: str) -> Column:
+        node = self.graph.nodes[name]
+        if not node.call:
+            return node.fails(self._view(name))
+        status = F.col(f"u_{name}.status")
+        return (status == "error") | (status == "interrupt") if not node.resume else status == "error"
+
+    def _writes(self, name: str) -> dict[str, tuple[Column, Column]]:
+        """By field, whether the node writes it and what."""
+        node = self.graph.nodes[name]
+        if node.call:
+            return {f: (F.coalesce(F.col(f"u_{name}.p_{f}"), F.lit(False)), F.col(f"u_{name}.v_{f}")) for f in node.writes}
+        return {f: (F.lit(True), of(self._view(name))) for f, of in node.update.items()}
 
     def _view(self, name: str) -> View:
         return View(self.graph, F.col(f"t_{name}") if name in self.flaky else F.lit(1))
@@ -110,12 +147,17 @@ class Engine:
             return F.array(*[F.lit(v) for v in value]).cast(kind)
         return F.lit(value).cast(kind)
 
-    def start(self, inputs: DataFrame, key: str) -> DataFrame:
-        """Runs from a DataFrame with one column for each input; a run with a missing or invalid one has failed."""
+    def start(self, inputs: DataFrame, key: str, now: int = 0) -> DataFrame:
+        """Runs from a DataFrame with one column for each input; a run with a missing or invalid one has failed.
+
+        now: the clock of graphs with backoffs, in milliseconds.
+        """
+        inputs = spread(inputs)
         columns: list[Column] = [F.col(key).alias("run_id")]
         bad = []
         for name, f in self.graph.inputs.items():
-            given = F.col(name).cast(f.schema.spark_type())
+            given = F.col(name).try_cast(f.schema.spark_type())
+            bad.append(F.col(name).isNotNull() & given.isNull())
             columns += [F.coalesce(given, self._zero(name)).alias(f"v_{name}"), given.isNotNull().cast("int").alias(f"n_{name}"), given.isNotNull().alias(f"w_{name}")]
             if f.required and f.default is None:
                 bad.append(given.isNull())
@@ -136,6 +178,10 @@ class Engine:
                 "step": F.lit(0),
                 **{f"t_{n}": F.lit(1) for n in self.flaky},
                 **{f"k_{n}": F.lit(False) for n in self.flaky},
+                **{f"f_{n}": F.lit(None).cast("long") for n in self.later},
+                **{f"u_{n}": F.lit(None).cast(calls.result_type(self._kinds(n))) for n in self.called},
+                **({"why": F.lit(None).cast("string")} if self.called else {}),
+                **({"clock": F.lit(now).cast("long"), "wake_at": F.lit(None).cast("long")} if self.later else {}),
                 "status": F.when(invalid, "failed").otherwise("running"),
                 "code": F.when(invalid, "invalid_input"),
                 "waiting": F.lit(None).cast("string"),
@@ -181,38 +227,55 @@ class Engine:
         out = reduce(lambda rest, w: F.when(w[0], w[1]).otherwise(rest), order[::-1], prior)
         return out if kept is None else F.when(unset, out).otherwise(prior)
 
-    def step(self, runs: DataFrame) -> DataFrame:
-        """One superstep of every running run."""
+    def step(self, runs: DataFrame, jump: bool = True) -> DataFrame:
+        """One superstep of every running run.  jump: the clock of a run in which nothing is due moves to wake_at first."""
         g = self.graph
         into = {n: [e for e in self.edges if g.edges[e].target == n] for n in self.nodes}
         running = F.col("status") == "running"
         active = {n: running & _any([F.col(f"a_{e}") for e in into[n]]) for n in self.nodes}
+        if self.later and jump:
+            runs = runs.withColumn("clock", F.when(running, F.greatest("clock", "wake_at")).otherwise(F.col("clock")))
         rows = runs.withColumns({f"x_{n}": c for n, c in active.items()})
         on = {n: F.col(f"x_{n}") for n in self.nodes}
         some = _any(list(on.values()))
-        rows = rows.withColumns({"_go": running & some & (F.col("step") < self.limit), "_some": some})
+        # Not due: the node's last attempt failed, and its backoff is not over.  If that is all there is to do, the run is parked.
+        wait = {n: on[n] & F.coalesce(F.col(f"f_{n}") > F.col("clock"), F.lit(False)) for n in self.later}
+        rows = rows.withColumns({f"q_{n}": c for n, c in wait.items()})
+        wait = {n: F.col(f"q_{n}") for n in wait}
+        tried = {n: on[n] & ~F.col(f"k_{n}") & ~wait.get(n, F.lit(False)) if n in self.flaky else on[n] for n in self.nodes}
+        due = _any([tried[n] for n in self.flaky]) | ~_any(list(wait.values())) if self.later else F.lit(True)
+        rows = rows.withColumns({"_go": running & some & (F.col("step") < self.limit) & due, "_over": running & some & (F.col("step") >= self.limit), "_some": some})
         go = F.col("_go")
-        asks = {n: on[n] & F.coalesce(g.nodes[n].interrupts(self._view(n)), F.lit(False)) for n in self.nodes if g.nodes[n].interrupts}
+        for n in self.called:
+            state = {c: F.col(f"v_{c}") for c in sorted(g.channels())}
+            fresh = calls.called(g.nodes[n].call, state, go & tried[n], F.col(f"t_{n}"), self._kinds(n), g.nodes[n].timeout_ms)
+            rows = rows.withColumn(f"z_{n}", fresh).withColumn(f"u_{n}", F.when(go & tried[n], F.col(f"z_{n}")).otherwise(F.col(f"u_{n}"))).drop(f"z_{n}")
+        asks = {n: on[n] & F.coalesce(c, F.lit(False)) for n in self.nodes if (c := self._asks(n)) is not None}
         rows = rows.withColumns({f"i_{n}": go & c for n, c in asks.items()})
         # A node whose attempt succeeded beside a failed one is held: its view stays, so that its writes wait unseen.
-        bad = {n: go & on[n] & ~F.col(f"k_{n}") & F.coalesce(g.nodes[n].fails(self._view(n)), F.lit(False)) for n in self.flaky}
+        bad = {n: go & tried[n] & F.coalesce(self._fails(n), F.lit(False)) for n in self.flaky}
+        rows = rows.withColumns({f"b_{n}": c for n, c in bad.items()})
+        bad = {n: F.col(f"b_{n}") for n in self.flaky}
+        rows = rows.withColumn("_wait", go & _any(list(wait.values())))
         wrong = []
+        writes = {n: self._writes(n) for n in self.nodes}
         for name, f in g.channels().items():
             for n in self.nodes:
-                if name in g.nodes[n].update:
+                if name in writes[n]:
                     parked = F.col(f"i_{n}") if n in asks else F.lit(False)
-                    value = g.nodes[n].update[name](self._view(n)).cast(f.schema.spark_type())
-                    wrong.append(go & on[n] & ~parked & ~bad.get(n, F.lit(False)) & (F.size(violations(write_schema(f), value, name)) > 0))
-        rows = rows.withColumns({f"b_{n}": c for n, c in bad.items()} | {"_wrong": _any(wrong)})
-        bad = {n: F.col(f"b_{n}") for n in self.flaky}
-        spent = _any([c & (F.col(f"t_{n}") >= g.nodes[n].max_attempts) for n, c in bad.items()])
+                    given, value = writes[n][name]
+                    ready = given & ~wait.get(n, F.lit(False))
+                    wrong.append(go & on[n] & ready & ~parked & ~bad.get(n, F.lit(False)) & (F.size(violations(write_schema(f), value.cast(f.schema.spark_type()), name)) > 0))
+        rows = rows.withColumn("_wrong", _any(wrong))
+        last = lambda n: F.col(f"t_{n}") >= g.nodes[n].max_attempts
+        spent = _any([c & (last(n) | ~F.coalesce(F.col(f"u_{n}.retryable"), F.lit(False)) if n in self.called else last(n)) for n, c in bad.items()])
         rows = rows.withColumns({"_final": F.col("_wrong") | spent, "_bad": F.col("_wrong") | _any(list(bad.values()))})
         # An invalid write is never tried again; a failed attempt is, while any are left.  Else the run has failed.
-        commit = go & ~F.col("_bad")
+        commit = go & ~F.col("_bad") & ~F.col("_wait")
         done = {n: commit & on[n] & (~F.col(f"i_{n}") if n in asks else F.lit(True)) for n in self.nodes}
         values, written = {}, {}
         for name, f in g.channels().items():
-            writers = [(done[n], g.nodes[n].update[name](self._view(n))) for n in self.nodes if name in g.nodes[n].update]
+            writers = [(done[n] & writes[n][name][0], writes[n][name][1]) for n in self.nodes if name in writes[n]]
             written[name] = _any([w for w, _ in writers])
             if writers:
                 values[f"v_{name}"] = F.when(written[name], self._reduced(name, f.reducer, writers)).otherwise(F.col(f"v_{name}"))
@@ -237,7 +300,7 @@ class Engine:
             live = fired & self._guard(e.guard) if e.target != FINISH else F.lit(False)
             edges[f"a_{name}"] = F.when(F.col("_commit"), live | (old & parked)).otherwise(old)
         asked = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"i_{n}"), F.lit(n)) for n in asks])), ",") if asks else F.lit("")
-        over = (F.col("status") == "running") & F.col("_some") & ~F.col("_go")
+        over = F.col("_over")
         rows = rows.withColumns(edges)
         rows = rows.withColumn("trace", F.concat("trace", self._log([*asks], over)))
         pending = _any([F.col(f"a_{e}") for e in self.edges if g.edges[e].target != FINISH and g.edges[e].target not in asks])
@@ -256,14 +319,31 @@ class Engine:
                     for n in self.flaky
                 },
                 **{
-                    f"k_{n}": F.when(F.col("_commit"), False).when(F.col("_bad"), F.col(f"k_{n}") | (F.col(f"x_{n}") & ~F.col(f"b_{n}"))).otherwise(F.col(f"k_{n}"))
+                    f"k_{n}": F.when(F.col("_commit"), False)
+                    .when(F.col("_go"), F.col(f"k_{n}") | (F.col(f"x_{n}") & ~F.col(f"b_{n}") & ~wait.get(n, F.lit(False))))
+                    .otherwise(F.col(f"k_{n}"))
                     for n in self.flaky
                 },
+                **{
+                    f"f_{n}": F.when(F.col("_commit") | F.col("_final"), None)
+                    .when(F.col(f"b_{n}"), F.col("clock") + g.nodes[n].backoff_ms)
+                    .when(F.col("_go") & ~wait[n], None)
+                    .otherwise(F.col(f"f_{n}"))
+                    for n in self.later
+                },
+                **({"why": self._reason()} if self.called else {}),
                 "step": F.col("step") + F.col("_commit").cast("int"),
             }
         )
+        if self.later:  # the earliest of the times before which nothing is tried
+            rows = rows.withColumn("wake_at", F.when(F.col("status") == "running", F.array_min(F.array(*[F.col(f"f_{n}") for n in self.later]))))
         used = [*[f"{p}_{n}" for n in self.nodes for p in "xd"], *[f"i_{n}" for n in asks], *[f"b_{n}" for n in self.flaky], *[f"l_{e}" for e in self.edges]]
-        return rows.drop("_go", "_some", "_wrong", "_bad", "_final", "_commit", *used)
+        return rows.drop("_go", "_over", "_some", "_wait", "_wrong", "_bad", "_final", "_commit", *used, *[f"q_{n}" for n in self.later])
+
+    def _reason(self) -> Column:
+        """The reason of this step's first failed call, by node; the one before if there is none."""
+        said = [F.when(F.col(f"b_{n}"), F.coalesce(F.col(f"u_{n}.reason"), F.lit("invalid_interrupt"))) for n in self.called]
+        return F.coalesce(*said, F.col("why"))
 
     def _log(self, asking: list[str], over: Column) -> Column:
         """What this step adds to the trace, as step:type:subject, a checkpoint closing each transition."""
@@ -278,11 +358,12 @@ class Engine:
         said += [(failed, "run_failed", ""), (ended, "run_completed", ""), (F.col("_commit") | F.col("_bad") | failed | ended, "checkpoint_committed", "")]
         return F.array_compact(F.array(*[F.when(c, F.concat(F.col("step").cast("string"), F.lit(f":{kind}:{subject}"))) for c, kind, subject in said]))
 
-    def run(self, runs: DataFrame, every: int = 3) -> DataFrame:
+    def run(self, runs: DataFrame, every: int = 3, now: int | None = None) -> DataFrame:
         """Supersteps until no run is running.
 
         The rows are written every so many steps and at the end: steps nest expressions, and a filter pushed
-        through many of them would multiply what the optimizer has to hold.
+        through many of them would multiply what the optimizer has to hold.  now: the time in milliseconds; runs that
+        wait for a later one stay parked.  Without it, each run's clock jumps to when it is due.
         """
         attempts = max([n.max_attempts for n in self.graph.nodes.values()], default=1)
         if not self.graph.cycles() and attempts == 1:
@@ -293,13 +374,30 @@ class Engine:
                 runs = checkpoint(runs)
                 left -= every
             return runs
+        ready = F.col("status") == "running"
+        if now is not None and self.later:
+            runs = runs.withColumn("clock", F.greatest("clock", F.lit(now)))
+            ready = ready & F.coalesce(F.col("wake_at") <= F.col("clock"), F.lit(True))
         while True:
             for _ in range(every):
-                runs = self.step(runs)
+                runs = self.step(runs, jump=now is None)
             runs = checkpoint(runs)
-            if runs.filter("status = 'running'").isEmpty():
+            if runs.filter(ready).isEmpty():
                 return runs
 
+    def drain(self, runs: DataFrame, budget: int, now: int | None = None) -> DataFrame:
+        """At most budget supersteps; what still runs then yields, see disposition()."""
+        for _ in range(budget):
+            runs = self.step(runs, jump=now is None)
+        return checkpoint(runs)
+
+    def disposition(self, runs: DataFrame) -> DataFrame:
+        """(run_id, disposition, until): park_terminal, park_external for an answer, park_at a time, or park_immediate, as a run that yields is taken up at once."""
+        until = F.col("wake_at") if self.later else F.lit(None).cast("long")
+        waits = (F.col("status") == "running") & F.coalesce(until > F.col("clock"), F.lit(False)) if self.later else F.lit(False)
+        how = F.when(F.col("status").isin("done", "failed", "cancelled"), "park_terminal").when(F.col("status") == "waiting", "park_external").when(waits, "park_at").otherwise("park_immediate")
+        return runs.select("run_id", how.alias("disposition"), F.when(waits, until).alias("until"))
+
     def _answers(self, runs: DataFrame, answers: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
         """Runs with the answers to them by node, the least of rivals, and what becomes of each node's answer."""
         gates = [n for n in self.nodes if self.graph.nodes[n].resume]
@@ -309,10 +407,11 @@ class Engine:
         fate = {}
         for n in gates:
             schema = self.graph.fields[self.graph.nodes[n].resume].schema
-            valid = F.size(violations(schema, F.col(f"_a_{n}.value").cast(schema.spark_type()), n)) == 0
-            asked = self.graph.nodes[n].answer
-            if asked is not None:
-                valid = valid & (F.size(violations(asked, F.col(f"_a_{n}.value").cast(asked.spark_type()), n)) == 0)
+            valid = F.lit(True)
+            for asked in (schema, self.graph.nodes[n].answer):
+                if asked is not None:
+                    given = parsed(F.col(f"_a_{n}.value"), asked)
+                    valid = valid & (given.isNotNull() | F.col(f"_a_{n}.value").isNull()) & (F.size(violations(asked, given, n)) == 0)
             opened = F.coalesce(F.array_contains(F.split("waiting", ","), n), F.lit(False))
             fate[n] = (
                 F.when(F.col(f"_a_{n}").isNull(), F.lit(None).cast("string"))
@@ -335,7 +434,7 @@ class Engine:
         for n in fate:
             name, here = self.graph.nodes[n].resume, F.col(f"_f_{n}")
             f = self.graph.fields[name]
-            new = self._reduced(name, f.reducer, [(here, F.col(f"_a_{n}.value").cast(f.schema.spark_type()))])
+            new = self._reduced(name, f.reducer, [(here, parsed(F.col(f"_a_{n}.value"), f.schema))])
             said = [F.concat(F.col("step").cast("string"), F.lit(e)) for e in (f":interrupt_resolved:{n}", f":channel_updated:{name}", ":checkpoint_committed:")]
             rows = rows.withColumn("trace", F.when(here, F.concat("trace", F.array(*said))).otherwise(F.col("trace")))
             rows = rows.withColumns({f"v_{name}": F.when(here, new).otherwise(F.col(f"v_{name}")), f"n_{name}": F.col(f"n_{name}") + here.cast("int"), f"w_{name}": here | F.col(f"w_{name}")})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,6 +136,101 @@ def retry_beside() -> Graph:
     return g.put_edge("e0", START, "flaky").put_edge("e1", START, "once").put_edge("e2", ("flaky", "once"), FINISH)
 
 
+def backoff() -> Graph:
+    """Fails key % 4 times with three attempts, half a second apart; a sibling that succeeded is held meanwhile."""
+    g = _base("backoff", out=Field(INT), once=Field(INT))
+    g = g.put_node("flaky", Node({"out": lambda v: v.attempt}, fails=lambda v: v.attempt <= v["key"] % 4, max_attempts=3, backoff_ms=500))
+    g = g.put_node("once", Node({"once": lambda v: v.attempt}, fails=lambda v: v.attempt > 1, max_attempts=9))
+    return g.put_edge("e0", START, "flaky").put_edge("e1", START, "once").put_edge("e2", ("flaky", "once"), FINISH)
+
+
+def _backoff(spark, d):
+    engine = Engine(backoff())
+    rows = engine.run(engine.start(_inputs(spark, d), "key"))
+    return engine.outputs(rows).join(rows.select("run_id", "clock"), "run_id")
+
+
+def _parked(spark, d):
+    """What is due half a second after the start has run; the rest waits for its deadline."""
+    engine = Engine(backoff())
+    rows = engine.run(engine.start(_inputs(spark, d), "key", now=10_000), now=10_000)
+    return engine.disposition(engine.run(rows, now=10_500))
+
+
+def sized(state: dict, attempt: int):
+    """A call that raises once for some runs and gives nonsense for others."""
+    if state["key"] % 5 == 0 and attempt == 1:
+        raise ValueError("first attempt")
+    if state["key"] % 11 == 0:
+        return "nonsense"
+    return "ok", {"size": len(state["prio"]), "tries": attempt}
+
+
+def python_node() -> Graph:
+    g = _base("sized", size=Field(INT), tries=Field(INT)).put_node("call", Node(call=sized, writes=("size", "tries"), max_attempts=2))
+    return g.put_edge("e0", START, "call").put_edge("e1", "call", FINISH)
+
+
+def _python(spark, d):
+    engine = Engine(python_node())
+    rows = engine.run(engine.start(_inputs(spark, d), "key"))
+    return engine.outputs(rows).join(rows.select("run_id", "why"), "run_id")
+
+
+def slow(state: dict, attempt: int):
+    if state["key"] % 3000 == 1:
+        time.sleep(3)
+    return "ok", {"out": state["key"]}
+
+
+def timeout() -> Graph:
+    g = _base("slow", out=Field(INT)).put_node("call", Node(call=slow, writes=("out",), timeout_ms=1000))
+    return g.put_edge("e0", START, "call").put_edge("e1", "call", FINISH)
+
+
+def _timeout(spark, d):
+    engine = Engine(timeout())
+    rows = engine.run(engine.start(_inputs(spark, d), "key"))
+    return rows.groupBy("status", "why").agg(F.count(F.lit(1)).alias("runs"), F.sum("v_out").alias("total"))
+
+
+def doubled() -> Graph:
+    g = Graph("doubled").put_input("n", Field(INT, required=True)).put_field("out", Field(INT)).put_output("out")
+    return g.put_node("two", node(out=lambda v: v["n"] * 2)).put_edge("e0", START, "two").put_edge("e1", "two", FINISH)
+
+
+def _bad_inputs(spark, d):
+    """A third of the runs are given text that is no number; they fail, the others do not."""
+    engine = Engine(doubled())
+    given = F.when(F.col("key") % 3 == 0, F.col("prio")).otherwise(F.col("key").cast("string"))
+    rows = engine.run(engine.start(_inputs(spark, d).select("key", given.alias("n")), "key"))
+    return engine.outputs(rows).join(rows.select("run_id", "code"), "run_id")
+
+
+def counted_review() -> Graph:
+    """Waits for a number of at most 40,000."""
+    g = _base("counted", decision=Field(Schema("integer", max=40_000)), applied=Field(INT))
+    g = g.put_node("gate", Node({"applied": lambda v: v["decision"] + 1}, interrupts=lambda v: v.version("decision") == 0, resume="decision"))
+    return g.put_edge("e0", START, "gate").put_edge("e1", "gate", FINISH)
+
+
+def _bad_answers(spark, d):
+    """Answers that are no numbers or too large leave their runs waiting and the others alone."""
+    engine = Engine(counted_review())
+    waiting = engine.run(engine.start(_inputs(spark, d), "key"))
+    value = F.when(F.col("key") % 3 == 1, F.concat(F.lit("x"), F.col("prio"))).otherwise(F.col("key").cast("string"))
+    answers = _inputs(spark, d).filter("key % 3 <> 0").select(F.col("key").alias("run_id"), F.lit("gate").alias("node"), value.alias("value"))
+    fate = engine.resolutions(waiting, answers).select("run_id", "outcome")
+    return engine.outputs(engine.run(engine.resolve(waiting, answers))).join(fate, "run_id", "left")
+
+
+def _yields(spark, d):
+    """Counters with a budget of three supersteps: those not over by then yield."""
+    engine = Engine(counter())
+    rows = engine.disposition(engine.drain(engine.start(_inputs(spark, d), "key"), 3))
+    return rows.groupBy("disposition").agg(F.count(F.lit(1)).alias("runs"))
+
+
 def checked() -> Graph:
     """A write outside its field's bounds fails the run and is not tried again."""
     g = _base("checked", small=Field(Schema("integer", max=5)), seen=Field(Schema("map"), Reducer("merge")))
@@ -172,5 +269,12 @@ def queries() -> dict:
         "bsp_event_log": (_log, f"SELECT o_orderkey AS run_id, i AS seq, CAST(e[1] AS INTEGER) AS step, e[2] AS type, e[3] AS subject FROM (SELECT o_orderkey, i, w[i] AS e FROM orders, range(1, 19) t(i), (SELECT {_WHOLE_LOG.replace('(', '[').replace(')', ']')} AS w))"),
         "bsp_retry_held": (_run(retry_beside()), f"SELECT o_orderkey AS run_id, 'done' AS status, 1 AS step, CAST(o_orderkey % 3 + 1 AS INTEGER) AS out, 1 AS once {o}"),
         "bsp_write_validation": (_checked, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 8 > 5 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 8 <= 5 THEN o_orderkey % 8 END AS small, CASE WHEN o_orderkey % 8 <= 5 THEN 'b' END AS x, CASE WHEN o_orderkey % 8 <= 5 THEN o_orderpriority END AS p {o}"),
+        "bsp_backoff": (_backoff, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 = 3 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 4 = 3 THEN 0 ELSE 1 END AS step, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderkey % 4 + 1 AS INTEGER) END AS out, CASE WHEN o_orderkey % 4 < 3 THEN 1 END AS once, 500 * least(o_orderkey % 4, 2) AS clock {o}"),
+        "bsp_parked": (_parked, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 < 2 THEN 'park_terminal' ELSE 'park_at' END AS disposition, CASE WHEN o_orderkey % 4 >= 2 THEN CAST(11000 AS BIGINT) END AS until {o}"),
+        "bsp_udf_node": (_python, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 1 END AS step, CASE WHEN o_orderkey % 11 <> 0 THEN length(o_orderpriority) END AS size, CASE WHEN o_orderkey % 11 <> 0 THEN CASE WHEN o_orderkey % 5 = 0 THEN 2 ELSE 1 END END AS tries, CASE WHEN o_orderkey % 11 = 0 THEN 'invalid_return' WHEN o_orderkey % 5 = 0 THEN 'ValueError: first attempt' END AS why {o}"),
+        "bsp_timeout": (_timeout, f"SELECT CASE WHEN o_orderkey % 3000 = 1 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 3000 = 1 THEN 'timeout' END AS why, count(*) AS runs, CAST(sum(CASE WHEN o_orderkey % 3000 <> 1 THEN o_orderkey END) AS BIGINT) AS total {o} GROUP BY 1, 2"),
+        "bsp_bad_inputs": (_bad_inputs, f"SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 3 = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS step, CASE WHEN o_orderkey % 3 <> 0 THEN 2 * o_orderkey END AS out, CASE WHEN o_orderkey % 3 = 0 THEN 'invalid_input' END AS code {o}"),
+        "bsp_bad_answers": (_bad_answers, f"SELECT o_orderkey AS run_id, CASE WHEN ok THEN 'done' ELSE 'waiting' END AS status, CASE WHEN ok THEN 2 ELSE 1 END AS step, CASE WHEN ok THEN o_orderkey END AS decision, CASE WHEN ok THEN o_orderkey + 1 END AS applied, CASE WHEN ok THEN 'resolved' WHEN o_orderkey % 3 <> 0 THEN 'invalid_value' END AS outcome FROM (SELECT *, o_orderkey % 3 = 2 AND o_orderkey <= 40000 AS ok {o})"),
+        "bsp_yield": (_yields, f"SELECT CASE WHEN o_orderkey % 6 < 2 THEN 'park_terminal' ELSE 'park_immediate' END AS disposition, count(*) AS runs {o} GROUP BY 1"),
         "bsp_events": (_events, f"SELECT o_orderkey AS run_id, CAST(e[1] AS BIGINT) AS seq, CAST(e[2] AS INTEGER) AS step, e[3] AS node_id FROM (SELECT o_orderkey, unnest([['1', '0', 'root'], ['2', '1', 'l'], ['3', '1', 'r'], ['4', '2', 'join']]) AS e {o})"),
     }

@@ -28,6 +28,17 @@ class Reducer:
     by: tuple[str, ...] = ()
     deep: bool = False
 
+    @staticmethod
+    def of(what: Any) -> Reducer:
+        """A reducer from its short form: "sum" or ("append", {"unique": True}); by may be one name or a path."""
+        if isinstance(what, Reducer):
+            return what
+        kind, options = (what, {}) if isinstance(what, str) else what if isinstance(what, tuple) and len(what) == 2 else (None, None)
+        if not isinstance(kind, str) or not isinstance(options, dict) or kind not in (*FOLDS, "last_value", "first_value"):
+            raise ValueError(f"not a reducer: {what!r}")
+        by = options.get("by", ())
+        return Reducer(kind, **options | {"by": (by,) if isinstance(by, str) else tuple(by)})
+
 
 @dataclass(frozen=True)
 class Field:
@@ -43,6 +54,8 @@ class Node:
 
     implementation and config name what built the node; only such nodes have a wire form.  branches: groups of
     outgoing edges of which one is meant to be taken.  answer: what an answer to its interrupt must satisfy.
+    backoff_ms: how long a failed attempt waits for the next.  call: user code in place of columns, see plans/calls.py;
+    it writes the fields writes and is given up after timeout_ms.
     """
 
     update: dict[str, Callable[[Any], Column]] = field(default_factory=dict)
@@ -54,6 +67,14 @@ class Node:
     config: dict[str, Any] = field(default_factory=dict)
     branches: dict[str, tuple[str, ...]] = field(default_factory=dict)
     answer: Schema | None = None
+    backoff_ms: int = 0
+    call: Callable[..., Any] | None = None
+    writes: tuple[str, ...] = ()
+    timeout_ms: int = 2_000
+
+    @property
+    def written(self) -> tuple[str, ...]:
+        return (*self.update, *self.writes)
 
 
 @dataclass(frozen=True)
@@ -247,13 +268,16 @@ class Graph:
             elif name in self.output_schemas and channels[source].schema and not self.output_schemas[name].covers(channels[source].schema):
                 add("incompatible_output_schema", f"outputs.{name}")
         for name, node in self.nodes.items():
-            for target in node.update:
+            for target in node.written:
                 if target not in self.fields:
                     add("invalid_node_config", f"nodes.{name}")
+            if node.call is not None and (node.update or node.fails or node.interrupts) or node.call is None and node.writes:
+                add("invalid_node_config", f"nodes.{name}")
             if node.interrupts is not None and node.resume not in self.fields:
                 add("invalid_node_config", f"nodes.{name}")
-            if isinstance(node.max_attempts, bool) or not isinstance(node.max_attempts, int) or node.max_attempts < 1:
-                add("invalid_policy", f"nodes.{name}")
+            for policy, least in ((node.max_attempts, 1), (node.backoff_ms, 0), (node.timeout_ms, 1)):
+                if isinstance(policy, bool) or not isinstance(policy, int) or policy < least:
+                    add("invalid_policy", f"nodes.{name}")
             self._verify_branches(name, node, add)
         # Fields, nodes and edges become columns, whose names Spark compares without case.
         for kind, names in (("fields", channels), ("nodes", self.nodes), ("edges", self.edges)):
@@ -370,7 +394,7 @@ class Graph:
                 add("unguarded_cycle", where, "warning")
 
     def _verify_usage(self, add: Callable) -> None:
-        used = set(self.outputs.values()) | {f for n in self.nodes.values() for f in (*n.update, n.resume)}
+        used = set(self.outputs.values()) | {f for n in self.nodes.values() for f in (*n.written, n.resume)}
         text = json.dumps(json.loads(self.canonical())["edges"])
         for name in self.fields:
             if name not in used and json.dumps(name) not in text:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,13 +11,22 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as Spark uses it, a folder of our own only where that is unset."""
+    """spark.checkpoint.dir as Spark uses it, a folder of our own only where that is unset on a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stepgraph-"))
     return context.getCheckpointDir()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read from fewer files than there are; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A path that no other query uses, in the folder that all executors share."""
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
