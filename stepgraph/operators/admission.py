@@ -82,13 +82,15 @@ def outcomes(runs: DataFrame, chosen: DataFrame, now: int, max_attempts: int, ba
 
 
 def stats(runs: DataFrame, now: int, ttl: int, chosen: DataFrame) -> DataFrame:
-    """Candidates, selected and the age of the oldest by class."""
+    """Candidates, selected, steals (of claims of others that had expired) and the age of the oldest by class."""
     ready = _ready(runs, now).select("id", F.lit("ready").alias("class"), F.col("wake_at").alias("at"))
     old = runs.filter((F.col("status") == "running") & F.col("poisoned_at").isNull() & (F.col("claimed_at") < now - ttl))
     both = ready.unionByName(old.select("id", F.lit("expired").alias("class"), F.col("claimed_at").alias("at")))
     picked = chosen.groupBy("class").agg(F.count(F.lit(1)).alias("selected"))
     all_ = both.groupBy("class").agg(F.count(F.lit(1)).alias("candidates"), (F.lit(now) - F.min("at")).alias("oldest_age"))
-    return all_.join(picked, "class", "left").select("class", "candidates", F.coalesce("selected", F.lit(0)).alias("selected"), "oldest_age")
+    return all_.join(picked, "class", "left").select(
+        "class", "candidates", F.coalesce("selected", F.lit(0)).alias("selected"), F.when(F.col("class") == "expired", F.coalesce("selected", F.lit(0))).otherwise(0).alias("steals"), "oldest_age"
+    )
 
 
 def refreshed(claims: DataFrame, now: int) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql.window import Window
 
 SUMMARY = ["run_id", "tenant_id", "graph_id", "graph_hash", "status", "step", "checkpoint_seq", "started_at", "updated_at", "finished_at"]
 
+#: What an operator sees of a run: all but the token that a claim is held by.
+OPERATIONAL = ["run_id", "tenant_id", "graph_id", "graph_hash", "status", "step", "checkpoint_seq", "wake_at", "claimed_at", "claim_attempts", "claim_abandons", "poisoned_at", "poison_reason", "started_at", "updated_at", "finished_at"]
+
+
+def operational(runs: DataFrame) -> DataFrame:
+    return runs.select(*OPERATIONAL, F.col("claim_token").isNotNull().alias("claimed"))
+
 
 def limit_of(limit: int, most: int = 1000) -> int:
     if not 1 <= limit <= most:
@@ -42,6 +49,21 @@ def event_page(events: DataFrame, run_id: str, after: int = 0, limit: int = 250)
     return rows.orderBy("seq").limit(limit_of(limit))
 
 
+def event_page_whole(events: DataFrame, run_id: str, after: int = 0, limit: int = 250) -> DataFrame:
+    """One row: the page as an array, the bounds of the run's events, the cursor to go on from and whether there is more.
+
+    A run without events has null bounds, an empty page and keeps its cursor.
+    """
+    mine = events.filter(F.col("run_id") == run_id)
+    page = event_page(mine, run_id, after, limit)  # at most limit rows
+    fields = [c for c in events.columns if c != "run_id"]
+    fields = ["seq", *[c for c in fields if c != "seq"]]
+    rows = page.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("events"), F.coalesce(F.max("seq"), F.lit(after)).alias("next_cursor"))
+    bounds = mine.agg(F.min("seq").alias("first_seq"), F.max("seq").alias("latest_seq"))
+    more = F.coalesce(F.col("latest_seq") > F.col("next_cursor"), F.lit(False))
+    return rows.join(bounds).select(F.lit(run_id).alias("run_id"), "events", "first_seq", "latest_seq", "next_cursor", more.alias("has_more"))
+
+
 def event_bounds(events: DataFrame, runs: DataFrame) -> DataFrame:
     """(run_id, first_seq, latest_seq) of every run, with nulls for a run without events."""
     bounds = events.groupBy("run_id").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("latest_seq"))

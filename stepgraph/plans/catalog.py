@@ -16,7 +16,7 @@ from ..operators import admission as A
 from ..operators import metrics as M
 from ..operators import reach, store
 from ..sources.snapshots import fresh_folder
-from ..sources.tables import DAY, EVENTS, NOW, RUNS, VERSIONS, events_log, graph_versions, micros, runs, table
+from ..sources.tables import DAY, EVENTS, NOW, RUN_EVENTS, RUNS, VERSIONS, events_log, graph_versions, micros, run_events, runs, table
 from ..streaming import fold
 from ..streaming.shell import RunShell
 from . import flows
@@ -112,7 +112,7 @@ def claim_outcomes_windowed(spark, d):
 
 
 @query(
-    f"""SELECT class, candidates, coalesce(selected, 0) AS selected, oldest_age FROM
+    f"""SELECT class, candidates, coalesce(selected, 0) AS selected, CASE WHEN class = 'expired' THEN coalesce(selected, 0) ELSE 0 END AS steals, oldest_age FROM
   (SELECT class, count(*) AS candidates, {NOW} - min(eligible_at) AS oldest_age
    FROM (SELECT class, eligible_at FROM ready UNION ALL SELECT class, eligible_at FROM expired) GROUP BY class)
   LEFT JOIN (SELECT class, count(*) AS selected FROM chosen GROUP BY class) USING (class)""",
@@ -255,10 +255,12 @@ def retention_events(spark, d):
     return store.prune_events(events_log(spark, d), 1_705_000_000_000_000, 500)
 
 
-@query(f"SELECT status, count(*) AS runs, CAST(sum(step) AS BIGINT) AS events FROM (SELECT * FROM runs WHERE finished_at < {CUTOFF} ORDER BY finished_at, id LIMIT 1000) GROUP BY status", RUNS)
+@query(f"SELECT status, count(DISTINCT run_id) AS runs, count(seq) AS events FROM (SELECT * FROM runs WHERE finished_at < {CUTOFF} ORDER BY finished_at, id LIMIT 1000) LEFT JOIN run_events USING (run_id) GROUP BY status", RUNS, RUN_EVENTS)
 def retention_runs_cascade(spark, d):
+    """The oldest finished runs, and how many events go with them."""
     gone = store.prune_runs(runs(spark, d), CUTOFF, 1000)
-    return gone.groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.sum("step").alias("events"))
+    with_events = gone.select("run_id", "status").join(run_events(spark, d).select("run_id", "seq"), "run_id", "left")
+    return with_events.groupBy("status").agg(F.count_distinct("run_id").alias("runs"), F.count("seq").alias("events"))
 
 
 @query(f"""SELECT scope_key, graph_id, graph_hash, inserted_at, CAST(revision AS INTEGER) AS revision FROM
@@ -602,3 +604,5 @@ for _name, (_run, _sql) in flows.queries().items():
     QUERIES[_name] = _run
     if _sql is not None:
         SQL[_name] = _sql
+
+from . import catalog_store  # noqa: E402, F401  registers its queries

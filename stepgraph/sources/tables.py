@@ -106,6 +106,22 @@ EVENTS = """events_log AS (
     event_type AS type, value, props, epoch_us(ts) AS occurred_at FROM events)"""
 
 
+def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of the runs that orders are: one for each of an order's lines."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("run-"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("run_id"),
+        F.row_number().over(order).cast("long").alias("seq"),
+        F.col("l_returnflag").alias("type"),
+        micros("l_shipdate").alias("occurred_at"),
+    )
+
+
+RUN_EVENTS = """run_events AS (
+  SELECT 'run-' || lpad(CAST(l_orderkey AS VARCHAR), 9, '0') AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq,
+    l_returnflag AS type, epoch_us(l_shipdate) AS occurred_at FROM lineitem)"""
+
+
 def graph_versions(of: DataFrame) -> DataFrame:
     return of.groupBy("scope_key", "graph_id", "graph_hash").agg(F.min("started_at").alias("inserted_at"))
 
