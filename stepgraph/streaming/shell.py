@@ -2,19 +2,21 @@
 
 A signal starts a run, answers an interrupt or cancels.  Batch n commits as version n + 1 and is skipped when that
 version exists, so a batch replayed after a failure changes nothing.  Live runs (running or waiting) are written
-anew by every commit; finished runs and events are only appended, so a commit's cost follows the live runs and not
-the history.  Within a batch a run starts first, then its answers count, then it is cancelled.
+anew by every commit; finished runs and events are only appended.  A commit's cost follows the live runs; one that
+starts runs also looks their ids up among those of all finished runs, of which it reads the one column.  Within a batch a run starts first, then its answers count, then it is cancelled.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..plans.engine import Engine
+from ..plugins import Observer, Store, tell
 from ..sources.snapshots import SnapshotStore, checkpoint
 
 OVER = ("done", "failed", "cancelled")
@@ -27,8 +29,9 @@ class RunShell:
     a start of a run that exists is ignored.
     """
 
-    def __init__(self, spark: SparkSession, engine: Engine, base: str) -> None:
-        self.spark, self.engine, self.store = spark, engine, SnapshotStore(spark, base)
+    def __init__(self, spark: SparkSession, engine: Engine, base: str, store: Store | None = None, observers: Iterable[Observer] = ()) -> None:
+        """observers are told the version and the number of live runs and of signals after each commit."""
+        self.spark, self.engine, self.store, self.observers = spark, engine, store or SnapshotStore(spark, base), list(observers)
 
     def _started(self, signals: DataFrame, known: DataFrame | None, now: int) -> DataFrame:
         inputs = sorted(self.engine.graph.inputs)
@@ -46,7 +49,7 @@ class RunShell:
         signals = checkpoint(signals)
         first = self.store.current() == 0
         live = None if first else self.store.read("live")
-        known = None if first else live.select("run_id").unionByName(self.store.appended("finished").select("run_id"))
+        known = None if first else self._known(live, signals)
         rows = self._started(signals, known, now)
         if live is not None:
             rows = rows.unionByName(live)
@@ -61,8 +64,17 @@ class RunShell:
         moved = (F.size("trace") > F.col("logged")) | over
         rows = rows.withColumns({"logged": F.size("trace"), "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))})
         self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over).withColumn("trace", F.filter("trace", lambda e: e.contains(":interrupt_resolved:"))), "events": log}, batch)
+        if self.observers:
+            tell(self.observers, batch + 1, {"signals": signals.count(), "live": self.store.read("live").count()})
         return True
 
+    def _known(self, live: DataFrame, signals: DataFrame) -> DataFrame:
+        """Those of the runs that a batch starts that exist already; nothing of the history is read if it starts none."""
+        new = checkpoint(signals.filter("kind = 'start' and run_id is not null").select("run_id").distinct())
+        if new.isEmpty():
+            return new
+        return live.select("run_id").unionByName(self.store.appended("finished").select("run_id")).join(new, "run_id", "left_semi")
+
     def runs(self) -> DataFrame:
         """The state of every run, live or finished."""
         return self.store.read("live").unionByName(self.store.appended("finished"))
