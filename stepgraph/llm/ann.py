@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .vectors import SHARD, best, matrices, packed, query_blocks, search, unpack, usable
+from .vectors import SHARD, best, matrices, packed, search, unpack, usable
 
 SUBSPACE = 2
 CODES = 16
@@ -109,11 +109,11 @@ def sample(vectors: DataFrame, vector: str, key: str, rows: int, seed: int) -> d
     counts = {r["dim"]: r["n"] for r in kept.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per dimension
     out = {}
     for dim, n in counts.items():
-        bar = int(min(1.0, rows * 1.2 / n) * 2**62) * 2 - 2**62 * 2 if n > rows else None
+        bar = int(rows * 1.2 / n * 2**64) - 2**63 if n > 1.2 * rows else None  # the hashes lie anywhere in 64 bits
         some = kept.filter(F.col("dim") == dim)
         if bar is not None:
             some = some.filter(F.col("h") <= bar)
-        got = some.orderBy("h", "k").limit(rows).select("k", vector).toArrow().combine_chunks().to_batches()
+        got = some.orderBy("h", "k", F.xxhash64(vector)).limit(rows).select("k", vector).toArrow().combine_chunks().to_batches()
         parts = [m for _, m in matrices(iter(got), rows)]
         if parts:
             out[dim] = np.concatenate(parts)
@@ -132,9 +132,9 @@ def index_of(vectors: DataFrame, books: dict[int, np.ndarray], vector: str, key:
                 if codes.shape[1] % 2:
                     codes = np.concatenate([codes, np.zeros((len(codes), 1), "u1")], axis=1)
                 both = np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).T)
-                yield pa.RecordBatch.from_pydict({"ids": [row["ids"]], "dim": [row["dim"]], "data": [row["data"]], "codes": [both.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"n": [row["n"]], "ids": [row["ids"]], "dim": [row["dim"]], "data": [row["data"]], "codes": [both.tobytes()]})
 
-    return packed(vectors, shard, vector, key).mapInArrow(run, "ids binary, dim long, data binary, codes binary")
+    return packed(vectors, shard, vector, key).mapInArrow(run, "n long, ids binary, dim long, data binary, codes binary")
 
 
 def residuals(data: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -211,12 +211,10 @@ def nearest(
     seed: int = SEED,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query, exactly scored."""
-    spark = vectors.sparkSession
     clean = lambda df: df.filter(usable(vector, key) & F.exists(vector, lambda x: x != 0))
     books = {d: fit(rows, threshold, seed=seed) for d, rows in sample(clean(vectors), vector, key, fit_rows, seed).items()}
     index = checkpoint(index_of(clean(vectors), books, vector, key, threshold, shard))
-    blocks = query_blocks(clean(queries), vector, key)
-    return search(spark, index, blocks, lambda s, ids, rows: scan(s, ids, rows, books[s["dim"]], k, depth), k, "double")
+    return search(index, clean(queries), lambda s, ids, rows: scan(s, ids, rows, books[s["dim"]], k, depth), k, "double", vector, key)
 
 
 def op6_ann(spark, sf_dir):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
-from .vectors import SHARD, best, packed, query_blocks, search, unpack, usable
+from .vectors import SHARD, best, packed, search, unpack, usable
 
 SCALE = 256
 BLOCK_ROWS = 32
@@ -70,14 +70,14 @@ def block_index(vectors: DataFrame, vector: str, key: str, scale: int, shard: in
                 starts = np.arange(0, len(ids), BLOCK_ROWS)
                 high, low = (f.reduceat(rows, starts, axis=0) if rows.size else np.zeros((len(starts), 0)) for f in (np.maximum, np.minimum))
                 yield pa.RecordBatch.from_pydict(
-                    {k: [v] for k, v in {"ids": ids.tobytes(), "dim": row["dim"], "data": rows.tobytes(), "high": high.tobytes(), "low": low.tobytes()}.items()}
+                    {k: [v] for k, v in {"n": row["n"], "ids": ids.tobytes(), "dim": row["dim"], "data": rows.tobytes(), "high": high.tobytes(), "low": low.tobytes()}.items()}
                 )
 
-    return packed(vectors, shard, vector, key).mapInArrow(run, "ids binary, dim long, data binary, high binary, low binary")
+    return packed(vectors, shard, vector, key).mapInArrow(run, "n long, ids binary, dim long, data binary, high binary, low binary")
 
 
-def prune(shard: dict, ids: np.ndarray, rows: np.ndarray, k: int, scale: int = SCALE) -> Iterator[tuple]:
-    """The k best of a shard for each query, by block-at-a-time pruning."""
+def prune(shard: dict, ids: np.ndarray, rows: np.ndarray, k: int, scale: int = SCALE, visits: list[int] | None = None) -> Iterator[tuple]:
+    """The k best of a shard for each query, by block-at-a-time pruning.  visits gets the number of blocks that each query scored."""
     vec, data = unpack(shard["ids"], shard["dim"], shard["data"])
     queries = quantise(rows, scale)
     n, d = data.shape
@@ -118,6 +118,8 @@ def prune(shard: dict, ids: np.ndarray, rows: np.ndarray, k: int, scale: int = S
             top = best(all_ids, all_scores, k)
             got_ids, got = all_ids[top], all_scores[top]
             at = stop
+        if visits is not None:
+            visits.append(at)
         if len(got):
             yield q, got_ids, got.astype("int64")
 
@@ -126,10 +128,8 @@ def top_k(
     vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, vector: str = "embedding", key: str = "vec_id", shard: int = SHARD
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products of floor(scale x), exactly."""
-    spark = vectors.sparkSession
     index = checkpoint(block_index(vectors.filter(usable(vector, key)), vector, key, scale, shard))
-    blocks = query_blocks(queries.filter(usable(vector, key)), vector, key)
-    return search(spark, index, blocks, lambda s, ids, rows: prune(s, ids, rows, k, scale), k, "long")
+    return search(index, queries.filter(usable(vector, key)), lambda s, ids, rows: prune(s, ids, rows, k, scale), k, "long", vector, key)
 
 
 def op4_topk(spark, sf_dir):

@@ -202,11 +202,56 @@ def test_exact_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0), 5).collect() == []
 
 
-def test_pruning_skips_blocks_and_stays_exact():
-    rng = np.random.default_rng(0)
-    rows = np.repeat(rng.normal(size=(8, 8)) * 4, 64, axis=0) + rng.normal(size=(512, 8)) * 0.01
+def packed_shard(ids, rows):
     order = topk.arrange(rows)
-    assert sorted(order) == list(range(512))
+    ids, rows = ids[order], topk.quantise(rows[order])
+    starts = np.arange(0, len(ids), topk.BLOCK_ROWS)
+    high, low = (f.reduceat(rows, starts, axis=0) for f in (np.maximum, np.minimum))
+    return {"ids": ids.astype("<i8").tobytes(), "dim": rows.shape[1], "data": rows.tobytes(), "high": high.tobytes(), "low": low.tobytes()}
+
+
+@pytest.mark.parametrize("spread", [0.01, 3.0])
+def test_pruning_skips_blocks_and_stays_exact(spread):
+    """Close groups let most blocks be skipped; where nothing can be, the results are as exact."""
+    rng = np.random.default_rng(0)
+    rows = np.repeat(rng.normal(size=(16, 8)) * 4, 64, axis=0) + rng.normal(size=(1024, 8)) * spread
+    ids = rng.permutation(1024)
+    visits = []
+    found = {q: (vecs.tolist(), scores.tolist()) for q, vecs, scores in topk.prune(packed_shard(ids, rows), ids[::10], rows[::10], 5, visits=visits)}
+    whole = np.floor(256 * rows)
+    for at, i in enumerate(range(0, 1024, 10)):
+        score = whole @ whole[i]
+        order = [j for j in np.lexsort((ids, -score)) if j != i][:5]
+        assert found[at] == (ids[order].tolist(), score[order].astype(int).tolist())
+    blocks = 1024 // topk.BLOCK_ROWS
+    assert sum(visits) / (len(visits) * blocks) < 0.5 if spread < 1 else max(visits) <= blocks
+
+
+def test_searches_over_many_shards_and_blocks(spark, monkeypatch):
+    """Cells of several shards and blocks, other dimensions among them, columns of clashing names, and ties."""
+    from stepgraph.llm import vectors as both
+
+    monkeypatch.setattr(both, "BYTES", 16 * 8 * 100)
+    x, df = vectors(spark, 1200)
+    df = df.repartition(3).withColumns({c: F.lit(1) for c in ("n", "score", "query_id", "rank", "_g", "dim")})
+    wanted = df.filter("vec_id % 2 = 0")
+    exact = {}
+    for r in topk.top_k(df, wanted, 5, shard=100).collect():
+        exact.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    near = {}
+    for r in ann.nearest(df, wanted, 5, shard=100, depth=8).collect():
+        near.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    whole = np.floor(256 * x)
+    for q in range(0, 1200, 2):
+        for scores, got in ((whole @ whole[q], [(k, v) for k, v, _ in sorted(exact[q])]), (ann.exactly(x, x[q], np.arange(1200)), sorted(near[q]))):
+            order = [i for i in np.lexsort((np.arange(1200), -scores)) if i != q][:5]
+            assert got == [(k + 1, i) for k, i in enumerate(order)]
+    assert set(exact) == set(near) == {q for q in range(0, 1200, 2)}
+
+
+def test_sample_for_codebooks_is_as_large_as_meant(spark):
+    df = spark.range(9000).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    assert len(ann.sample(df, "embedding", "vec_id", 4000, 7)[2]) == 4000
 
 
 def test_ann_recall(spark):
@@ -369,6 +414,32 @@ def test_what_holds_the_article_is_not_dropped(around):
     assert html.lines_of(page) == (["Body."], True)
 
 
+@pytest.mark.parametrize("around", ["has-sidebar", "content with-ads", "no-menu", "menu-open", "page-with-comments", "hasSidebar", "ad-free"])
+def test_what_an_element_goes_with_does_not_drop_it(around):
+    assert html.lines_of(f'<div class="{around}"><p>x</p></div>') == (["x"], False)
+    assert html.lines_of(f'<div class="{around}"><article><p>x</p></article></div>') == (["x"], True)
+
+
+@pytest.mark.parametrize("name", ["sidebar", "post-sidebar", "comment-list", "related-articles", "newsletterSignup", "ad-slot-2", "site-footer", "cookie-notice", "share-buttons", "topNav"])
+def test_what_a_class_names_is_dropped(name):
+    assert html.lines_of(f'<main><p>x</p><div class="big {name}"><p>y</p></div><p id="{name}">z</p></main>') == (["x"], True)
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        a, b = ([str(x) for x in draw.integers(0, draw.integers(1, 9), draw.integers(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        found = [a[i] for i in sorted(html.shared(a, b))]
+        rest = iter(b)
+        assert len(found) == best[-1][-1] and all(x in rest for x in found)
+    long = [str(i) for i in range(6000)]
+    assert html.shared(long, ["new", *long[::-1][:1], *long[:3000], "x", *long[3000:]]) == set(range(6000))
+
+
 def test_differencing(spark):
     rows = [
         (1, "http://a.com/x/1", "<p>Welcome</p><p>Story one.</p><p>Foot</p>"),
