@@ -248,3 +248,8 @@ def step_inline(engine: Engine, runs: DataFrame, steps: int = 1) -> DataFrame:
 
 def resolve_interrupt_inline(engine: Engine, runs: DataFrame, answers: DataFrame) -> DataFrame:
     return engine.run(engine.resolve(runs, answers))
+
+
+def resume_inline(engine: Engine, runs: DataFrame, now: int) -> DataFrame:
+    """Parked runs that are due by now, in milliseconds, and all others that run."""
+    return engine.run(runs, now=now)

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from ..sources.snapshots import checkpoint
 
+#: Rounds after which the parts found are merged; rounds of trimming before cycles are looked for.
+MERGE, TRIMS = 8, 3
+
 
 def reachable(edges: DataFrame, start: DataFrame, barriers: bool = False) -> DataFrame:
     """(graph, node) reachable from start (graph, node) along edges (graph, edge, source, target).
 
-    barriers: an edge of several sources counts once all of them are reached, as a fan-in does.
+    barriers: an edge of several sources counts once all of them are reached, as a fan-in does.  What a round finds is
+    written once and joined to what was found before; every MERGE rounds the parts are written as one.
     """
     edges = checkpoint(edges.select("graph", "edge", "source", "target").distinct())
     need = edges.groupBy("graph", "edge").agg(F.count_distinct("source").alias("n"))
     seen = latest = checkpoint(start.select("graph", "node").distinct())
+    rounds = 0
     while True:
+        rounds += 1
         if barriers:
             met = edges.join(seen.withColumnRenamed("node", "source"), ["graph", "source"])
             met = met.groupBy("graph", "edge").agg(F.count_distinct("source").alias("m")).join(need, ["graph", "edge"])
@@ -27,7 +33,9 @@ def reachable(edges: DataFrame, start: DataFrame, barriers: bool = False) -> Dat
         latest = checkpoint(found.join(seen, ["graph", "node"], "left_anti"))
         if latest.isEmpty():
             return seen
-        seen = checkpoint(seen.unionByName(latest))
+        seen = seen.unionByName(latest)
+        if rounds % MERGE == 0:
+            seen = checkpoint(seen)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -43,9 +51,21 @@ def closure(edges: DataFrame) -> DataFrame:
         paths, size = wider, now
 
 
+def trimmed(edges: DataFrame, rounds: int = TRIMS) -> DataFrame:
+    """edges without those that start where none ends or end where none starts, again and again: they lie on no cycle."""
+    now = checkpoint(edges.select("graph", "source", "target").distinct())
+    for _ in range(rounds):
+        ended = now.select("graph", F.col("target").alias("source")).distinct()
+        begun = now.select("graph", F.col("source").alias("target")).distinct()
+        now = checkpoint(now.join(ended, ["graph", "source"], "left_semi").join(begun, ["graph", "target"], "left_semi"))
+        if now.isEmpty():
+            break
+    return now
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """(graph, node) on a cycle, self-loops included."""
-    return closure(edges).filter("a = b").select("graph", F.col("a").alias("node"))
+    """(graph, node) on a cycle, self-loops included.  Only what trimming leaves is closed, and paths stay in their graph."""
+    return closure(trimmed(edges)).filter("a = b").select("graph", F.col("a").alias("node"))
 
 
 def dead_ends(edges: DataFrame, finish: DataFrame) -> DataFrame:

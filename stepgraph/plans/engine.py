@@ -186,6 +186,8 @@ class Engine:
                 "code": F.when(invalid, "invalid_input"),
                 "waiting": F.lit(None).cast("string"),
                 "trace": F.array().cast("array<string>"),
+                "logged": F.lit(0).cast("long"),
+                "resolved": F.array().cast("array<string>"),
             }
         ).drop("_invalid")
 
@@ -416,7 +418,7 @@ class Engine:
             fate[n] = (
                 F.when(F.col(f"_a_{n}").isNull(), F.lit(None).cast("string"))
                 .when(F.col("status").isin("done", "failed", "cancelled"), "inactive_run")
-                .when(~opened & F.exists("trace", lambda e: e.endswith(f":interrupt_resolved:{n}")), "already_resolved")
+                .when(~opened & F.array_contains("resolved", n), "already_resolved")
                 .when(~opened, "not_found")
                 .when(~valid, "invalid_value")
                 .otherwise("resolved")
@@ -437,6 +439,7 @@ class Engine:
             new = self._reduced(name, f.reducer, [(here, parsed(F.col(f"_a_{n}.value"), f.schema))])
             said = [F.concat(F.col("step").cast("string"), F.lit(e)) for e in (f":interrupt_resolved:{n}", f":channel_updated:{name}", ":checkpoint_committed:")]
             rows = rows.withColumn("trace", F.when(here, F.concat("trace", F.array(*said))).otherwise(F.col("trace")))
+            rows = rows.withColumn("resolved", F.when(here, F.array_union("resolved", F.array(F.lit(n)))).otherwise(F.col("resolved")))
             rows = rows.withColumns({f"v_{name}": F.when(here, new).otherwise(F.col(f"v_{name}")), f"n_{name}": F.col(f"n_{name}") + here.cast("int"), f"w_{name}": here | F.col(f"w_{name}")})
         some = _any([F.col(f"_f_{n}") for n in fate])
         return rows.withColumn("status", F.when(some, "running").otherwise(F.col("status"))).drop(*[f"_{p}_{n}" for n in fate for p in "af"])
@@ -458,16 +461,20 @@ class Engine:
         return runs.select("run_id", "status", "step", *given)
 
     def log(self, runs: DataFrame) -> DataFrame:
-        """(run_id, seq, step, type, subject) of every event, in order; the subject is a node, field or edge."""
-        rows = runs.select("run_id", F.posexplode("trace").alias("pos", "e")).withColumn("e", F.split("e", ":", 3))
+        """(run_id, seq, step, type, subject) of the events that a run carries, in order; the subject is a node, field or edge."""
+        rows = runs.select("run_id", "logged", F.posexplode("trace").alias("pos", "e")).withColumn("e", F.split("e", ":", 3))
         return rows.select(
             "run_id",
-            (F.col("pos") + 1).cast("long").alias("seq"),
+            (F.col("logged") + F.col("pos") + 1).cast("long").alias("seq"),
             F.col("e")[0].cast("int").alias("step"),
             F.col("e")[1].alias("type"),
             F.nullif(F.col("e")[2], F.lit("")).alias("subject"),
         )
 
+    def flushed(self, runs: DataFrame) -> DataFrame:
+        """Runs without the events that log() gave, so that a long run carries only what is not written yet."""
+        return runs.withColumns({"logged": F.col("logged") + F.size("trace"), "trace": F.array().cast("array<string>")})
+
     def events(self, runs: DataFrame) -> DataFrame:
         """(run_id, seq, step, node_id) of completed nodes, numbered among themselves."""
         kept = F.filter("trace", lambda e: F.split(e, ":", 3)[1] == "node_completed")

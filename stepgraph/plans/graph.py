@@ -169,6 +169,8 @@ class Graph:
             if isinstance(x, Node):
                 extra = {"branches": plain(x.branches)} if x.branches else {}
                 extra |= {"answer": plain(x.answer)} if x.answer else {}
+                extra |= {k: getattr(x, k) for k in ("backoff_ms", "timeout_ms") if getattr(x, k) != getattr(Node(), k)}
+                extra |= {"writes": sorted(x.writes)} if x.writes else {}
                 built = extra | {"implementation": x.implementation, "config": plain(x.config)} if x.implementation else extra
                 return {"update": sorted(x.update), "resume": x.resume, "max_attempts": x.max_attempts} | built
             if isinstance(x, Edge):

@@ -29,6 +29,8 @@ class Implementation:
         return self.build(config)
 
 
+#: Policies of a node that its wire form holds where they differ from the usual.
+TIMES = ("backoff_ms", "timeout_ms")
 Registry = Mapping[str, Callable[[dict[str, Any]], Node]]
 
 
@@ -88,6 +90,7 @@ def to_map(graph: Graph) -> dict[str, Any]:
         if n.implementation is None:
             raise DocumentError("unregistered_implementation", f"nodes.{name}")
         extra = ({"branches": _dumped(n.branches)} if n.branches else {}) | ({"answer": _dumped(n.answer)} if n.answer else {})
+        extra |= {k: getattr(n, k) for k in TIMES if getattr(n, k) != getattr(Node(), k)}
         return {"implementation": n.implementation, "config": _dumped(n.config), "max_attempts": n.max_attempts} | extra
 
     return {
@@ -172,8 +175,9 @@ def _edge(x: Any, where: str) -> Edge:
 
 
 def _node(x: Any, where: str, registry: Registry) -> Node:
-    x = _known(x, where, "implementation", "config", "max_attempts", "branches", "answer")
+    x = _known(x, where, "implementation", "config", "max_attempts", "branches", "answer", *TIMES)
     changes = {"max_attempts": x.get("max_attempts", 1), "branches": {k: _tuples(v) for k, v in _items(x.get("branches", {}), where).items()}}
+    changes |= {k: x[k] for k in TIMES if k in x}
     if "answer" in x:
         changes["answer"] = _schema(x["answer"], f"{where}.answer")
     return built(registry, x.get("implementation"), x.get("config"), **changes)

@@ -2,7 +2,7 @@
 
 A signal starts a run, answers an interrupt or cancels.  Batch n commits as version n + 1 and is skipped when that
 version exists, so a batch replayed after a failure changes nothing.  Live runs (running or waiting) are written
-anew by every commit; finished runs and events are only appended.  A commit's cost follows the live runs; one that
+anew by every commit, without the events that were written before; finished runs and events are only appended.  A commit's cost follows the live runs; one that
 starts runs also looks their ids up among those of all finished runs, of which it reads the one column.  Within a batch a run starts first, then its answers count, then it is cancelled.
 """
 
@@ -39,7 +39,7 @@ class RunShell:
         rows = rows.groupBy("run_id").agg(F.min(F.struct(*inputs)).alias("i")).select("run_id", "i.*")
         if known is not None:
             rows = rows.join(known, "run_id", "left_anti")
-        return self.engine.start(rows, "run_id").withColumns({"logged": F.lit(0), "started_at": F.lit(now), "updated_at": F.lit(now)})
+        return self.engine.start(rows, "run_id").withColumns({"started_at": F.lit(now), "updated_at": F.lit(now)})
 
     def process(self, signals: DataFrame, batch: int) -> bool:
         """Applies one batch; False if it was applied before."""
@@ -60,10 +60,10 @@ class RunShell:
         rows = rows.join(gone, "run_id", "left")
         rows = checkpoint(self.engine.cancel(rows, F.coalesce("_gone", F.lit(False))).drop("_gone"))
         over = F.col("status").isin(*OVER)
-        log = self.engine.log(rows.select("run_id", "trace")).join(rows.select("run_id", "logged"), "run_id").filter("seq > logged").drop("logged")
-        moved = (F.size("trace") > F.col("logged")) | over
-        rows = rows.withColumns({"logged": F.size("trace"), "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))})
-        self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over).withColumn("trace", F.filter("trace", lambda e: e.contains(":interrupt_resolved:"))), "events": log}, batch)
+        log = self.engine.log(rows)
+        moved = (F.size("trace") > 0) | over
+        rows = self.engine.flushed(rows.withColumn("updated_at", F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))))
+        self.store.commit({"live": rows.filter(~over), "finished": rows.filter(over), "events": log}, batch)
         if self.observers:
             tell(self.observers, batch + 1, {"signals": signals.count(), "live": self.store.read("live").count()})
         return True

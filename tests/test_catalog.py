@@ -162,3 +162,18 @@ def test_snapshot_commit_is_fenced(spark, tmp_path):
         tables.commit({"runs": spark.range(9)}, 0)
     assert tables.read("runs").count() == 3 and tables.commit({"runs": spark.range(2)}, 1) == 2
     assert tables.read("runs").count() == 2 and tables.appended("runs").count() == 5
+
+
+def test_cycles_in_chains_and_cores(spark):
+    """A chain longer than the trimming, two cycles that a path joins, and a self-loop."""
+    chain = [("long", i, i + 1) for i in range(12)]
+    core = [("core", 1, 2), ("core", 2, 1), ("core", 2, 3), ("core", 3, 4), ("core", 4, 5), ("core", 5, 4), ("core", 5, 6), ("loop", 7, 7)]
+    df = spark.createDataFrame(chain + core, "graph string, source long, target long")
+    assert {(r.graph, r.node) for r in reach.cyclic(df).collect()} == {("core", 1), ("core", 2), ("core", 4), ("core", 5), ("loop", 7)}
+    assert reach.cyclic(df.limit(0)).collect() == []
+
+
+def test_reach_over_many_rounds(spark):
+    df = spark.createDataFrame([("g", str(i), i, i + 1) for i in range(20)], "graph string, edge string, source long, target long")
+    start = spark.createDataFrame([("g", 3)], "graph string, node long")
+    assert sorted(r.node for r in reach.reachable(df, start).collect()) == list(range(3, 21))

@@ -9,7 +9,7 @@ from stepgraph.functions import guards as G
 from stepgraph.functions.schemas import Schema, compiles
 from stepgraph.operators import commits
 from stepgraph.operators import metrics as M
-from stepgraph.plans import calls, flows
+from stepgraph.plans import calls, flows, wire
 from stepgraph.plans.engine import Engine
 from stepgraph.plans.graph import FINISH, START, Field, Graph, Node, Reducer
 from stepgraph.plugins import Dispatcher, Leases, Legacy, MemoryStore, Unavailable, Windowed, telemetry
@@ -180,6 +180,14 @@ def test_policies_are_checked():
     assert "invalid_node_config" in {d.code for d in g.update_node("call", fails=lambda v: v["key"] > 0).verify()}
 
 
+def test_called_nodes_have_a_wire_form():
+    registry = {"sized": lambda config: Node(call=flows.sized, writes=("size", "tries"))}
+    g = flows.python_node().put_node("call", wire.built(registry, "sized", max_attempts=2, backoff_ms=7, timeout_ms=50))
+    back = wire.from_json(wire.to_json(g), registry)
+    assert back.hash() == g.hash() and (back.nodes["call"].backoff_ms, back.nodes["call"].timeout_ms) == (7, 50)
+    assert back.hash() != g.update_node("call", backoff_ms=8).hash()
+
+
 def test_short_forms():
     assert Schema.of("string") == Schema("string") and Schema.of(("integer", {"min": 0})) == Schema("integer", min=0)
     assert Schema.of(("list", ("enum", ["a"]), {"min_items": 1})) == Schema("list", item=Schema("enum", values=("a",)), min_items=1)
