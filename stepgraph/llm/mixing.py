@@ -13,7 +13,6 @@ an empty table gives an empty result; other columns pass through untouched.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint, internal
+from .common import WORD, checkpoint, internal, ranked
 
 #: Documents of one source and length are ranked in so many ranges of their hash.
 BINS = 4096
@@ -29,30 +28,27 @@ BINS = 4096
 RELEASED = 64
 #: Bits of the knapsack's table at most, where the first fit misses its budget.
 TABLE = 1 << 18
-#: The table of sources is held on the driver; more sources than this are refused.
-MAX_SOURCES = 1_000_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[int], epochs: int) -> list[Fraction]:
-    """Targets that sum to sum(sizes), by weight, none above epochs times its size."""
-    targets = [Fraction(0)] * len(sizes)
-    left, open_ = Fraction(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > epochs * sizes[i]]
-        if not full:
-            for i in open_:
-                targets[i] = unit * weights[i]
-            break
-        for i in full:
-            targets[i] = Fraction(epochs * sizes[i])
-            left -= targets[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return targets
+def water_fill(sources: DataFrame, epochs: int) -> DataFrame:
+    """sources (one row each: w words, _weight) with target: by weight, the sum that of all words, none above epochs times its words.
+
+    The level, words for each unit of weight, rises as sources fill up; each round sums what is full and what is not.
+    Only such sums pass through the driver, however many sources there are.
+    """
+    total, level = None, 0.0
+    while True:
+        full = F.lit(level) * F.col("_weight") >= F.col("w") * epochs
+        free = F.sum(F.when(~full, F.col("_weight")))
+        row = sources.agg(F.sum("w").alias("w"), F.sum(F.when(full, F.col("w") * epochs)).alias("full"), free.alias("free")).first()
+        total = row["w"] or 0
+        if not row["free"] or (higher := (total - (row["full"] or 0)) / row["free"]) <= level:
+            return sources.withColumn("target", F.least(F.lit(level) * F.col("_weight"), (F.col("w") * epochs).cast("double")))
+        level = higher
 
 
 def reached(sizes: Sequence[int], free: Sequence[int], order: Sequence[int], rest: int) -> list[int]:
@@ -126,7 +122,6 @@ def mix(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
-    max_sources: int = MAX_SOURCES,
     row: str | None = None,
 ) -> DataFrame:
     """One row per document: _uid, key, size, source_size, target and taken (words the mix takes of it).
@@ -134,7 +129,6 @@ def mix(
     Sources in the order of their code points, null last, weigh weights[0], weights[1], ..., repeating.
     _uid tells rows of equal ids apart: the column row of docs, or a number given here.
     """
-    spark = docs.sparkSession
     name = F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source)))
     narrow = checkpoint(
         docs.select(
@@ -148,21 +142,22 @@ def mix(
     bins = narrow.groupBy("_src", "size", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     cells = bins.groupBy("_src", "size").agg(F.sum("_n").alias("_n"))
     totals = cells.groupBy("_src").agg(F.sum(F.col("size") * F.col("_n")).alias("w"))
-    rows = totals.limit(max_sources + 1).collect()  # one row per source
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    found = sorted(((r["_src"], int(r["w"])) for r in rows), key=lambda r: (r[0] == "n", r[0]))
-    share = [weights[i % len(weights)] for i in range(len(found))]
-    targets = water_fill([w for _, w in found], share, epochs)
-    plan = []
-    for (src, words), target in zip(found, targets, strict=True):
-        whole = min(epochs, int(target // words)) if words else 0
-        rest = round(target - whole * words)
-        if words and rest >= words:
-            whole, rest = whole + 1, 0
-        plan.append((src, words, float(target), whole, rest))
-    schema = "_src string, source_size long, target double, _whole long, _rest long"
-    sources = spark.createDataFrame(plan, schema)
+    last = totals.withColumn("_last", F.col("_src") == "n").withColumn("_all", F.lit(0))
+    share = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("double")
+    placed = checkpoint(ranked(last, ["_all"], ["_last", "_src"]).select("_src", "w", share.alias("_weight")))
+    words, target = F.col("w"), F.col("target")
+    whole = F.when(words > 0, F.least(F.lit(epochs), F.floor(target / F.when(words > 0, words)))).otherwise(0).cast("int")
+    rest = F.round(target - whole * words).cast("long")
+    over = (words > 0) & (rest >= words)
+    sources = checkpoint(
+        water_fill(placed, epochs).select(
+            "_src",
+            words.alias("source_size"),
+            "target",
+            F.when(over, whole + 1).otherwise(whole).alias("_whole"),
+            F.when(over | (words == 0), F.lit(0)).otherwise(F.greatest(rest, F.lit(0))).alias("_rest"),
+        )
+    )
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         sizes, counts = [int(x) for x in part["size"]], [int(x) for x in part["_n"]]
@@ -170,7 +165,7 @@ def mix(
         return pd.DataFrame({"_src": part["_src"], "size": part["size"], "_take": np.array(took, dtype="int64")})
 
     drawn = (
-        cells.join(F.broadcast(sources.filter("_rest > 0").select("_src", "_rest")), "_src")
+        cells.join(sources.filter("_rest > 0").select("_src", "_rest"), "_src")
         .groupBy("_src")
         .applyInPandas(fit, "_src string, size long, _take long")
     )
@@ -185,7 +180,7 @@ def mix(
     return (
         narrow.join(quota, ["_src", "size", "_bin"], "left")
         .withColumn("_drawn", F.coalesce((rank <= F.col("_quota")).cast("long"), F.lit(0)))
-        .join(F.broadcast(sources), "_src")
+        .join(sources, "_src")
         .withColumn("_copies", F.col("_whole") + F.col("_drawn"))
         .withColumn("taken", F.col("size") * F.col("_copies"))
         .select("_uid", key, "size", "source_size", "target", "taken", "_copies")

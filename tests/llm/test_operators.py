@@ -1,7 +1,9 @@
 """Each operator against a brute force, and on nulls, empty tables, repeated rows, ties and extra columns."""
 
 import re
+import unicodedata
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -59,8 +61,35 @@ def test_mix_meets_its_targets(docs):
     assert sorted(zip(again.doc_id, again.taken)) == sorted(zip(rows.doc_id, rows.taken))
 
 
-def test_water_fill_and_knapsack():
-    assert [float(x) for x in mixing.water_fill([1, 100, 0], [5, 2, 1], 3)] == [3.0, 98.0, 0.0]
+def filled(words, weights, epochs):
+    """By brute force: water poured in small steps of exact fractions, one source full at a time."""
+    targets, left, free = [Fraction(0)] * len(words), Fraction(sum(words)), set(range(len(words)))
+    while free and left:
+        step = min([Fraction(epochs * words[i] - targets[i], weights[i]) for i in free] + [left / sum(weights[i] for i in free)])
+        for i in free:
+            targets[i] += step * weights[i]
+            left -= step * weights[i]
+        free = {i for i in free if targets[i] < epochs * words[i]}
+    return [float(t) for t in targets]
+
+
+def test_water_fill(spark):
+    draw = np.random.default_rng(6)
+    cases = [[1, 100, 0], [0, 0], [7], [3, 1, 1, 1, 1000]] + [draw.integers(0, 1000, 12).tolist() for _ in range(3)]
+    for words in cases:
+        rows = spark.createDataFrame([(f"s{i:03}", w, float((5, 2, 1)[i % 3])) for i, w in enumerate(words)], "_src string, w long, _weight double")
+        got = [r.target for r in mixing.water_fill(rows, 3).orderBy("_src").collect()]
+        assert got == pytest.approx(filled(words, [(5, 2, 1)[i % 3] for i in range(len(words))], 3), abs=1e-6), words
+
+
+def test_mix_of_many_sources(spark):
+    rows = spark.range(3000).selectExpr("id doc_id", "repeat('w ', cast(id % 7 as int)) text", "if(id % 100 = 0, null, concat('source', id % 1500)) source")
+    got = mixing.mix(rows).toPandas()
+    assert len(got) == 3000 and (got["taken"] <= 3 * got["size"]).all()
+    assert abs(got["taken"].sum() - got["size"].sum()) < 0.2 * got["size"].sum()
+
+
+def test_knapsack():
     assert sum(n * s for n, s in zip(mixing.fit_budget([3, 5, 7], [10, 10, 10], 71), [3, 5, 7])) == 71
     assert mixing.fit_budget([4], [3], 0) == [0] and mixing.fit_budget([4], [3], 99) == [3]
 
@@ -176,6 +205,13 @@ def test_quotes_do_not_depend_on_the_order_of_rows(spark):
     assert len(got[99, 1].text) == 1_000_000 - 1 and got[99, 1].linked == 0
 
 
+def test_a_passage_said_twice_belongs_to_the_first(spark):
+    rows = [(1, 0, "u", "same words"), (1, 1, "a", "same words"), (1, 2, "u", "> Same   words\nyes"), (1, 3, "u", ">\n> \nblank quote")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("_uid", "hash", "parent", "said", "level")})
+    got = {r.turn: r for r in quotes.link_quotes(df).collect()}
+    assert got[2].parent_turn == 0 and got[2].text == "yes" and got[1].parent_turn is None and got[3].quotes == 0 and got[3].text == "blank quote"
+
+
 # 4 and 6
 
 
@@ -302,6 +338,31 @@ def test_quality(spark, docs, odd):
     assert quality.scored(odd, nothing).first().score == 0.5
 
 
+def test_scoring_of_an_empty_table_and_of_repeated_ids(spark, docs):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = quality.learn(docs, labels)
+    assert quality.scored(docs.limit(0), model, keep=["doc_id"]).collect() == []
+    once = quality.learn(docs.unionByName(docs).unionByName(docs), labels)
+    assert once.weights == model.weights and once.rules == model.rules  # a row that repeats counts once
+
+
+def test_statistics_against_plain_python(spark):
+    texts = ["Ünï CODE!! a,b. 12 #$ |x|\n\nĀ é 9\u0663", "", None, "a" * 100_000, "\n", "x x\tx"]
+    rows = quality.with_statistics(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", ["i"]).collect()
+    share = lambda n, of: n / of if of else 0.0
+    for r in rows:
+        t = texts[r.k0] or ""
+        words, lines = WORD.findall(t), t.split("\n")
+        want = {
+            "chars": len(t), "words": len(words), "word_length": share(len(t), len(words)), "distinct_words": share(len(set(words)), len(words)),
+            "lines": len(lines), "distinct_lines": share(len(set(lines)), len(lines)), "line_length": len(t) / len(lines),
+            "upper": share(sum(unicodedata.category(c) == "Lu" for c in t), len(t)), "letters": share(sum(unicodedata.category(c)[0] == "L" for c in t), len(t)),
+            "digits": share(sum(c in "0123456789" for c in t), len(t)), "symbols": share(sum(c in "#$%&*" for c in t), len(t)), "pipes": share(t.count("|"), len(t)),
+            "shouts": share(t.count("!"), len(t)), "stops": share(t.count("."), len(t)), "commas": share(t.count(","), len(t)), "breaks": share(t.count("\n"), len(t)),
+        }
+        assert {k: r[k] for k in want} == pytest.approx(want), r.k0
+
+
 def test_rules_are_conjunctions_over_paths():
     rng = np.random.default_rng(0)
     x = rng.random((600, 3))
@@ -333,6 +394,14 @@ def test_urls_against_brute_force(spark):
     assert urls.filter_urls(df.limit(0), table).collect() == []
 
 
+def test_a_hot_host_and_a_very_long_url(spark):
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/7", "allow")], "host string, path string, verdict string")
+    links = [f"http://hot.example.com/en/{i}" for i in range(3000)] + ["http://a.com/en/" + "x" * 200_000, "http://" + "a." * 50_000 + "com/en/"]
+    df = spark.createDataFrame(list(enumerate(links)), "page_id long, url string").withColumns({c: F.lit("x") for c in ("rule", "verdict", "_key", "path")})
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, rules).collect()}
+    assert got == {i: ("example.com/en/7", "allow") if "example" in u and "/en/7" in u else ("com/en/", "block") for i, u in enumerate(links)}
+
+
 # 8
 
 
@@ -455,6 +524,14 @@ def test_differencing(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+def test_odd_pages(spark):
+    long = "<article>" + "<p>word</p>" * 60_000 + "</article>"
+    rows = [(1, "http://a.com/1", long), (2, "http://a.com/2", "<main><p>cut of"), (3, "http://a.com/3", "<p>a<div class='x"), (4, "http://a.com/4", "<<>&lt;&#x41;&bogus;"), (5, "u", "<!-- never closed <p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("n_chars", "_uid", "_host", "_lines", "_rank")})
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got[1].count("word") == 60_000 and got[2] == "cut of" and got[3].startswith("a") and got[5] == "" and "<A&bogus;" in got[4]
+
+
 # 10
 
 
@@ -486,6 +563,19 @@ def test_encoder_equals_the_tokenizer():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [c.ids for c in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_any_other_tokenizer_encodes_whole_texts(odd, spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode = packing.Encoder(path)
+    texts = ["Two  words, it's IT'S \n x", "", "naïve 中文 👍🏽" * 50]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [c.ids for c in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert not encode.in_pieces and packing.Encoder(tokens()).in_pieces
+    rows = packing.pack(odd.withColumns({c: F.lit("x") for c in ("start", "length", "sequence_id")}), path).collect()
+    first = [r.doc_id for r in rows if r.start == 0]
+    assert len(first) == len(ODD) and first.count(None) == 1 and first.count(2) == 2
+
+
 def test_encoder_equals_the_tokenizer_on_every_plain_character():
     encode = packing.Encoder(tokens())
     texts = [w for c in map(chr, range(0x250)) for w in (f"ab{c}cd", f"AB{c}CD", f"{c}LI", f"KPALIM{c}", f"1{c}2", f"a{c}{c}b '{c}s")]
@@ -506,3 +596,15 @@ def test_pipeline(spark, docs):
             assert after.count() == sum(n for _, n in want)
         df = after
     assert corpus_pipeline.run(spark, SMALL).count() > 0
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
+    """Rows with nulls and repeats pass through every stage; empty tables and missing labels give defined results."""
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, rows, marks in (("odd", plain, labels), ("empty", plain.limit(0), labels), ("unlabelled", plain, labels.limit(0))):
+        folder = str(tmp_path / name)
+        rows.write.parquet(f"{folder}/documents.parquet")
+        marks.write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert got == [] if name == "empty" else {r.doc_id for r in got} <= {1, 2, None, 4, 5, 6}
