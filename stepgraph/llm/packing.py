@@ -12,12 +12,14 @@ documents; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -116,10 +118,15 @@ def cut_at_powers(lengths: list[int], window: int, max_padding: int) -> list[lis
 class Encoder:
     """ids of a text as little-endian 32-bit bytes, from those of its pieces, each distinct piece encoded once.
 
-    Exact for tokenizers that normalise characters to NFC and lower case, and then cut at PIECES and drop white
-    space, as word_bpe_49k.json does.  Texts with other characters than PLAIN ones are cut at white space only.
+    That is exact for tokenizers that normalise characters to NFC and lower case, and then cut at PIECES and drop
+    white space, as word_bpe_49k.json does; any other tokenizer encodes whole texts.  Texts with other characters than
+    PLAIN ones are cut at white space only.
     """
 
+    # What a tokenizer's file says of such a cut.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+
     # The cut of word_bpe_49k.json; characters whose case and classes no Unicode version changes.
     # PLAIN leaves out the capitals up to U+024F whose lower case PIECES does not know as a letter.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9\u00b2\u00b3\u00b9\u00bc-\u00be]|[^\s0-9a-z\u00aa\u00b2\u00b3\u00b5\u00b9\u00ba\u00bc-\u00be\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
@@ -131,6 +138,11 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        config = json.loads(Path(path).read_text(encoding="utf-8"))
+        cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        special = all(t["content"].startswith("<|") and not t["normalized"] for t in config.get("added_tokens") or [])
+        self.in_pieces = config.get("normalizer") == self.NORMALIZER and cuts[0] == self.SPLIT and special and config["model"]["type"] == "BPE"
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -140,6 +152,8 @@ class Encoder:
         return [x for x in re.split(r"[ \t\r\n]+", text) if x]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.in_pieces:
+            return [array("I", code.ids).tobytes() for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > CACHE:  # what the last generation used is carried over as it is met again
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
