@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import re
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,10 +20,13 @@ FOLDS = 5
 
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where that is unset (tests), to a folder of our own."""
+    """Checkpoints go to spark.checkpoint.dir; only where that is unset on a local master, to a folder of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stepgraph-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stepgraph-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -27,6 +35,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, handing free memory back at its end: Python workers are kept for later tasks."""
+
+    def inner(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(frames)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return inner
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
