@@ -6,20 +6,23 @@ over the rules keeps a few of them (Friedman and Popescu, 2008).  The rules kept
 so scoring is a projection.  At most FIT_ROWS labelled documents are used, those of the smallest id hashes.
 
 Defined cases: null text is empty text, and empty texts are scored like any other; documents whose labels
-disagree count once for each label; with no usable label every score is 0.5, with labels of one kind only
+disagree count once for each label; of the rows of one id the one with the least statistics is learned from; with no usable label every score is 0.5, with labels of one kind only
 the score is their smoothed share; repeated rows each get their row; an empty table gives an empty result;
 other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, held_out, internal, table
+from .common import WORD, held_out, internal, lean, table
 
 FIT_ROWS = 12_000
 TREES, DEPTH, RATE, LEAST = 40, 3, 0.2, 10
@@ -33,7 +36,7 @@ def statistics(text: Column) -> list[tuple[str, Column]]:
     whole = F.coalesce(text, F.lit(""))
     size, words = F.col("_size"), F.col("_words")
     share = lambda n, of: F.coalesce(F.try_divide(n.cast("double"), of), F.lit(0.0))
-    without = lambda chars: share(size - F.length(F.translate(F.col("_text"), chars, "")), size)
+    without = lambda char: share(size - F.length(F.replace(F.col("_text"), F.lit(char), F.lit(""))), size)
     dropped = lambda pattern: share(size - F.length(F.regexp_replace(F.col("_text"), pattern, "")), size)
     lines = F.col("_lines")
     return [
@@ -48,10 +51,10 @@ def statistics(text: Column) -> list[tuple[str, Column]]:
         ("lines", F.size(lines).cast("double")),
         ("distinct_lines", share(F.size(F.array_distinct(lines)), F.size(lines))),
         ("line_length", share(size, F.size(lines))),
-        ("upper", dropped(r"\p{Lu}")),
-        ("letters", dropped(r"\p{L}")),
-        ("digits", without("0123456789")),
-        ("symbols", without("#$%&*")),
+        ("upper", dropped(r"\p{Lu}+")),
+        ("letters", dropped(r"\p{L}+")),
+        ("digits", dropped("[0-9]+")),
+        ("symbols", dropped("[#$%&*]+")),
         ("pipes", without("|")),
         ("shouts", without("!")),
         ("stops", without(".")),
@@ -64,15 +67,16 @@ def names() -> list[str]:
     return [name for name, _ in statistics(F.lit("")) if not name.startswith("_")]
 
 
-def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """The columns keep of docs as k0, k1, ... and the statistics."""
-    steps = statistics(F.col("_raw"))
+def with_statistics(docs: DataFrame, text: str, keep: list[str], wanted: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs as k0, k1, ... and the statistics, or those wanted."""
+    steps = [(name, c) for name, c in statistics(F.col("_raw")) if name[0] == "_" or wanted is None or name in wanted]
     df = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("_raw"))
     for name, column in steps[:4]:
         df = df.withColumn(name, column)
     # A generator, as no filter or projection over the score is pushed below one: each statistic is computed once.
     kept = [f"k{i}" for i in range(len(keep))]
-    once = F.explode(F.array(F.struct(*[c.alias(name) for name, c in steps if name[0] != "_"]))).alias("s")
+    made = [c.alias(name) for name, c in steps if name[0] != "_"]
+    once = F.explode(F.array(F.struct(*made or [F.lit(0).alias("none")]))).alias("s")
     return df.select(*kept, once).select(*kept, "s.*")
 
 
@@ -102,6 +106,10 @@ class Model:
     rules: list[Rule] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
 
+    def used(self, stats: list[str]) -> list[str]:
+        """The statistics that some rule tests."""
+        return [stats[f] for f in sorted({f for rule in self.rules for f, _, _ in rule.tests})]
+
     def score(self, stats: list[str]) -> Column:
         total = F.lit(self.bias)
         for rule, weight in zip(self.rules, self.weights, strict=True):
@@ -226,16 +234,25 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, text: st
     n = known.count()
     if n > 1.3 * fit_rows:
         known = known.filter(F.col("h") <= int(1.3 * fit_rows / n * 2**64) - 2**63)
-    known = known.limit(2 * fit_rows)  # never reached: the hashes let through 1.3 times fit_rows
-    ours = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")
-    rows = with_statistics(ours, "t", ["h", "k", "y"]).limit(4 * fit_rows).toPandas().sort_values(["k0", "k1", "k2", *names()], kind="stable")[:fit_rows]
-    return fit(rows[names()].to_numpy("f8"), rows["k2"].to_numpy("f8"))
+    ours = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")  # 1.3 times fit_rows ids
+    # One row for each id and label, however often the id repeats.
+    rows = with_statistics(ours, "t", ["h", "k", "y"]).groupBy("k0", "k1", "k2").agg(F.min(F.struct(*names())).alias("s"))
+    values = F.array(F.col("k2").cast("double"), *[F.col(f"s.{c}") for c in names()])
+
+    def model(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(h, k, v) for frame in frames for h, k, v in zip(*(c.to_pylist() for c in frame.columns), strict=True)]
+        matrix = np.array([v for _, _, v in sorted(got)[:fit_rows]], "f8").reshape(-1, 1 + len(names_))
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(matrix[:, 1:], matrix[:, 0]))]})
+
+    names_ = names()
+    made = rows.select("k0", F.col("k1").cast("string").alias("k"), values.alias("v")).repartition(1).mapInArrow(lean(model), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit(np.zeros((0, 1)), np.zeros(0))
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The columns keep of docs with score and predicted."""
     keep = keep or []
-    stats = with_statistics(docs, text, keep)
+    stats = with_statistics(docs, text, keep, model.used(names()))
     out = stats.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], model.score(names()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
