@@ -26,6 +26,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
+
 WINDOW = 2048
 END = 1
 #: Remainders packed together.
@@ -33,7 +35,7 @@ BLOCK = 50_000
 #: A window with more padding than this is cut at powers of two.
 MAX_PADDING = 16
 #: Encoded pieces in each of the two generations that a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -264,7 +266,7 @@ def pack(
         if rows:
             yield out()
 
-    return docs.select(key, text).mapInArrow(run, SCHEMA.replace("doc_id", key, 1))
+    return docs.select(key, text).mapInArrow(lean(run), SCHEMA.replace("doc_id", key, 1))
 
 
 def op10_packing(spark, sf_dir):

@@ -128,11 +128,11 @@ def sketches(hashes: np.ndarray, offsets: np.ndarray, columns: int) -> np.ndarra
     return out
 
 
-def prefixes(hashes: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, counts: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def prefixes(hashes: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(set, hash, position): the shingles each set is listed under, those that are in heavy (sorted) last, by their counts.
 
     Under any one order of the shingles, two sets that are alike share one of the first n - ceil(UP n / DOWN) + 1
-    of each.  first: no more than so many.
+    of each.
     """
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(n)), n)
@@ -143,6 +143,12 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, heavy: np.ndarray, counts:
     order = np.lexsort((hashes, weight, doc))
     place = np.arange(len(hashes)) - offsets[doc]
     kept = place < n[doc] + (-UP * n[doc]) // DOWN + 1
-    if first is not None:
-        kept &= place < first
     return doc[kept], hashes[order][kept], place[kept]
+
+
+def minima(hashes: np.ndarray, offsets: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key): the least of each set under each of count orders; two sets share a key with the probability of their similarity."""
+    full = np.flatnonzero(np.diff(offsets))
+    keys = [mix(hashes * np.uint64(BASE) + np.uint64(k + 1)) >> np.uint64(64 - HASH_BITS) for k in range(count)] if len(full) else []
+    least = [np.minimum.reduceat(x, offsets[full]) | np.uint64(k << HASH_BITS) for k, x in enumerate(keys)]
+    return np.tile(full, len(least)), np.concatenate([*least, np.zeros(0, "u8")])

@@ -215,7 +215,8 @@ def deduplicated(docs: DataFrame, width: int = similar.SHINGLE, text: str = "tex
     grouped = nodes.withColumnRenamed("node", "_id").join(least, "_id")
     heads = grouped.groupBy("root").agg(F.min("_one").alias("_one")).select(F.col("_one.u").alias("_id"))
     gone = checkpoint(copies.unionByName(grouped.select("_id").join(heads, "_id", "left_anti")))
-    return similar.without(rows, gone.withColumnRenamed("_id", uid), uid).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = rows.select(F.col(uid).alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    return similar.without(whole, gone, "_id").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir):

@@ -4,33 +4,34 @@ Every text is listed under the first shingles of its set (see shingles.prefixes)
 list whatever the order of the shingles; the order puts those that a bounded sample holds often last, which
 changes the cost only.  Within a list, SimHash fingerprints of the sets are compared bit-sliced (bitslice.py),
 and pairs within the radius whose sizes and positions allow it are compared with whole sets.  The radius lies
-7 standard deviations beyond the distance that sets of similarity 4/5 have on average (5 for sets of under ten
-shingles), so it spares the comparison of whole texts and loses a link with a probability under 1e-7.
+8 standard deviations beyond the distance that sets of similarity 4/5 have on average (6 for sets of under ten
+shingles), so it spares the comparison of whole texts and loses a link with a probability under 1e-8.
 
 Lists are dealt out by ranges of their members, so one that many texts share is spread over tasks.  What a range
 may hold only a part of, and lists of over PART members, are dealt out again as pairs of parts: the members of
 the list's largest group against parts of the others, so that a group already known to be connected is not
-compared with itself.  A group of n near copies is connected beforehand by neighbours of the FIRST lists, with
-about n comparisons.
+compared with itself.  Groups of near copies are connected beforehand: among texts that share one of FIRST minima
+of their sets, each is compared with its neighbour and with the one in the middle of them all, which are two
+comparisons for each listing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import checkpoint, shuffle_partitions
+from .common import checkpoint, lean, shuffle_partitions
 from .components import components
-from .shingles import DOWN, SHINGLE, UP, alike, groups, prefixes, sketches
+from .shingles import DOWN, SHINGLE, UP, alike, groups, minima, prefixes, sketches
 
 #: Bits of a fingerprint, over 64, and how many may differ.
-COLUMNS, RADIUS = 2, 48
-#: Shingles of a text whose lists are compared beforehand.
+COLUMNS, RADIUS = 2, 52
+#: Minima of a set under which a text is listed beforehand.
 FIRST = 4
 #: Texts in the sample that orders the shingles, about; shingles it can put last; least texts of the sample that hold one.
 SAMPLE, HEAVY, OFTEN = 2_000, 200_000, 3
@@ -43,37 +44,29 @@ NAMES = [c.split()[0] for c in LISTS.split(", ")]
 FOUND = f"kind int, {LISTS}"
 
 
-def _spots(key: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(F.lit(s), key), F.lit(BITS)) for s in (1, 2)])
+def maybe(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with a column name that is true for every row whose key is in ids, and for few others while ids are few.
 
-
-def _maybe(rows: DataFrame, ids: DataFrame, key: str) -> Column:
-    """A condition true for every row of rows whose key is in ids, and for few others while ids are few.
-
-    Only a filter of BITS bits passes through the driver, however many ids there are.
+    It is read from a filter of BITS bits, which is all that is broadcast, however many ids there are.
     """
-    spots = ids.select(F.explode(_spots(F.col(key))).alias("p"))
-    words = spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
-    bits = np.zeros(BITS // 64, "i8")
-    bits[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    sent = rows.sparkSession.sparkContext.broadcast(bits.view("u8"))
-
-    @F.pandas_udf("boolean")
-    def hit(p, q):
-        held = sent.value
-        return (held[p // 64] >> (p % 64).astype("u8") & held[q // 64] >> (q % 64).astype("u8") & np.uint64(1)).astype(bool)
-
-    spot = _spots(F.col(key))
-    return hit(spot[0], spot[1])
+    spot = lambda seed: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(BITS))
+    spots = ids.select(F.explode(F.array(spot(1), spot(2))).alias("p"))
+    words = checkpoint(spots.groupBy(F.shiftright("p", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_b")))
+    hit = F.lit(True)
+    for n, seed in enumerate((1, 2)):
+        word = F.broadcast(words.select(F.col("_w").alias(f"_w{n}"), F.col("_b").alias(f"_b{n}")))  # at most BITS / 64 rows
+        rows = rows.join(word, F.shiftright(spot(seed), 6) == F.col(f"_w{n}"), "left")
+        hit = hit & F.coalesce(F.call_function("getbit", F.col(f"_b{n}"), spot(seed).bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn(name, hit).drop("_w0", "_b0", "_w1", "_b1")
 
 
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return rows.filter(_maybe(rows, ids, key)).join(ids, key, "left_semi")
+    return maybe(rows, ids, key, "_hit").filter("_hit").drop("_hit").join(ids, key, "left_semi")
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    hit = _maybe(rows, ids, key)
-    return rows.filter(~hit).unionByName(rows.filter(hit).join(ids, key, "left_anti"))
+    marked = maybe(rows, ids, key, "_hit")
+    return marked.filter("not _hit").unionByName(marked.filter("_hit").join(ids, key, "left_anti")).drop("_hit")
 
 
 def digests(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -109,20 +102,32 @@ def _heavy(texts: DataFrame, rows: int, width: int) -> tuple[np.ndarray, np.ndar
     return heavy[order], n[order]
 
 
-def _lists(texts: DataFrame, most: tuple, width: int, first: int | None = None) -> DataFrame:
-    """LISTS: each text (_id, _root, _text) under the shingles of its prefix, or the first of them, with its fingerprint."""
-    sent = texts.sparkSession.sparkContext.broadcast(most)  # at most HEAVY shingles
+def _listed(texts: DataFrame, keys: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], width: int) -> DataFrame:
+    """LISTS: each text (_id, _root, _text) under its keys, by set, key and position, with its fingerprint."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             key, root = (frame.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for which, hashes, offsets in groups(frame.column(2).to_pylist(), width):
-                own, s, at = prefixes(hashes, offsets, *sent.value, first)
+                own, s, at = keys(hashes, offsets)
                 prints = sketches(hashes, offsets, COLUMNS).view("i8")
                 columns = [s.view("i8"), key[which][own], root[which][own], np.diff(offsets)[own].astype("i4"), at.astype("i4"), *prints[own].T]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], NAMES)
 
-    return texts.select("_id", "_root", "_text").mapInArrow(run, LISTS)
+    return texts.select("_id", "_root", "_text").mapInArrow(lean(run), LISTS)
+
+
+def by_prefix(texts: DataFrame, most: tuple, width: int) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(most)  # at most HEAVY shingles
+    return _listed(texts, lambda hashes, offsets: prefixes(hashes, offsets, *sent.value), width)
+
+
+def by_minima(texts: DataFrame, width: int) -> DataFrame:
+    def keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, s = minima(hashes, offsets, FIRST)
+        return own, s, np.zeros(len(own), "i4")
+
+    return _listed(texts, keys, width)
 
 
 def near_pairs(s: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray, at: np.ndarray, prints: np.ndarray, reach: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -130,7 +135,12 @@ def near_pairs(s: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray,
 
     reach: only neighbours up to so far, whatever their sizes' order.
     """
-    n, at = n.astype("i8"), at.astype("i8")
+    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    several = np.minimum.reduceat(roots, starts) != np.maximum.reduceat(roots, starts)
+    kept = np.repeat(several, np.diff(starts, append=len(s)))  # a list of one group holds no pair
+    if not kept.any():
+        return
+    s, ids, roots, n, at, prints = s[kept], ids[kept], roots[kept], n[kept].astype("i8"), at[kept].astype("i8"), prints[kept]
     ends = np.flatnonzero(np.append(s[1:] != s[:-1], True)) + 1
     end = np.repeat(ends, np.diff(ends, prepend=0))
     plane = bitslice.planes(prints.view("u8"))
@@ -147,7 +157,8 @@ def near_pairs(s: np.ndarray, ids: np.ndarray, roots: np.ndarray, n: np.ndarray,
         if not len(live):
             return
         other = lanes + d
-        held = np.minimum(at[lanes], at[other]) + np.minimum(n[lanes] - at[lanes], n[other] - at[other])  # shingles that both can hold
+        # In the list of the first shingle that both hold, neither holds another of theirs before it; a pair may fail in later lists.
+        held = np.minimum(n[lanes] - at[lanes], n[other] - at[other])
         lanes = lanes[(roots[lanes] != roots[other]) & ((UP + DOWN) * held >= UP * (n[lanes] + n[other]))]
         if len(lanes):
             i = bitslice.positions(bitslice.near_wide(plane, bitslice.lanes_of(lanes, words), d, RADIUS))
@@ -208,7 +219,7 @@ def compared(lists: DataFrame, whole: bool = False) -> DataFrame:
             if not whole:
                 yield _again([c[last:] for c in columns])
 
-    return lists.mapInArrow(run, FOUND)
+    return lists.mapInArrow(lean(run), FOUND)
 
 
 def candidates(lists: DataFrame) -> DataFrame:
@@ -234,18 +245,34 @@ def candidates(lists: DataFrame) -> DataFrame:
     return found.filter("kind = 0").select(*pair).unionByName(more.select(*pair)).distinct()
 
 
+def stars(s: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the member of each list whose fingerprint is nearest to what most members have, and the members that may be like it."""
+    starts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    size = np.diff(starts, append=len(s))
+    own = np.repeat(np.arange(len(starts)), size)
+    words = np.ascontiguousarray(prints).view("u8")
+    ones = np.add.reduceat(np.unpackbits(words.view("u1").reshape(len(s), -1), axis=1, bitorder="little"), starts, axis=0, dtype="int32")
+    middle = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view("<u8")
+    away = np.bitwise_count(words ^ middle[own]).sum(axis=1, dtype="int64")
+    head = np.lexsort((ids, away, own))[starts][own]
+    close = np.maximum(n, n[head]) * UP <= np.minimum(n, n[head]) * DOWN
+    found = close & (ids != ids[head]) & (np.bitwise_count(words ^ words[head]).sum(axis=1, dtype="int64") <= RADIUS)
+    return np.minimum(ids, ids[head])[found], np.maximum(ids, ids[head])[found]
+
+
 def neighbours(lists: DataFrame) -> DataFrame:
-    """(a, b): pairs that stand side by side in a list, by their fingerprints, and may be alike."""
+    """(a, b): pairs that stand side by side in a list, by their fingerprints, or have its middle as one, and may be alike."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             columns = [c.to_numpy(zero_copy_only=False) for c in frame.columns]
             if len(columns[0]):
-                for a, b in near_pairs(*columns[:5], np.stack(columns[5:], axis=1), reach=1):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                prints = np.stack(columns[5:], axis=1)
+                made = [*near_pairs(*columns[:5], prints, reach=1), stars(columns[0], columns[1], columns[3].astype("i8"), prints)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], ["a", "b"])
 
     order = ["s", "x", "_id"]  # what a cut between ranges or frames parts is found later
-    return lists.repartitionByRange(shuffle_partitions(lists.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long").distinct()
+    return lists.repartitionByRange(shuffle_partitions(lists.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -269,17 +296,16 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFr
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return checkpoint(both.repartition("a", "b").sortWithinPartitions("a", "b", "_id").mapInArrow(run, "a long, b long"))
+    return checkpoint(both.repartition("a", "b").sortWithinPartitions("a", "b", "_id").mapInArrow(lean(run), "a long, b long"))
 
 
 def links(texts: DataFrame, rows: int, width: int = SHINGLE) -> DataFrame:
     """Edges (a, b) that connect the rows of texts (_id, _text), of different sets, as all pairs that are alike do."""
     most = _heavy(texts, rows, width)
     alone = texts.withColumn("_root", F.col("_id"))
-    found = verified(neighbours(_lists(alone, most, width, FIRST)), texts, width)
+    found = verified(neighbours(checkpoint(by_minima(alone, width))), texts, width)
     roots = checkpoint(components(found).select(F.col("node").alias("_id"), F.col("root").alias("_root")))
-    hit = _maybe(texts, roots.select("_id"), "_id")
-    named = alone.filter(~hit).unionByName(
-        texts.filter(hit).join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id")).select(*alone.columns)
-    )
-    return found.unionByName(verified(candidates(_lists(named, most, width)), texts, width))
+    marked = maybe(alone, roots.select("_id"), "_id", "_hit")
+    known = marked.filter("_hit").drop("_root").join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+    named = marked.filter("not _hit").unionByName(known).drop("_hit")
+    return found.unionByName(verified(candidates(by_prefix(named, most, width)), texts, width))

@@ -66,7 +66,7 @@ def test_near_copies_at_every_similarity(spark, monkeypatch, part):
     """On an input that gives its rows in another order each time, with short and with cut lists."""
     monkeypatch.setattr(similar, "PART", part)
     rows = near_copies()
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in ("_id", "_row", "_one")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in ("_id", "_row", "_one", "_hit", "_b0", "_doc")})
     kept = simhash.deduplicated(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == kept_by_brute_force(rows)
@@ -121,3 +121,23 @@ def test_wide_distances(radius):
         wanted = bitslice.lanes_of(np.arange(300 - d), plane.shape[1] - 1)
         found = bitslice.positions(bitslice.near_wide(plane, wanted, d, radius)).tolist()
         assert found == [i for i in range(300 - d) if sum(int(x).bit_count() for x in values[i] ^ values[i + d]) <= radius]
+
+
+def test_a_star_of_near_copies_makes_few_pairs(spark):
+    """Copies that are alike with their original only: two pairs for each listing beforehand, few afterwards."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10_000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        more = list(base)
+        for at in draw.sample(range(150), draw.choice([1, 2, 3, 4, 8, 12])):
+            more[at] = f"x{draw.randrange(10_000)}"
+        rows.append((i, " ".join(more)))
+    docs = spark.createDataFrame(rows, "_id long, _text string").repartition(4)
+    lists = similar.by_minima(docs.withColumn("_root", F.col("_id")), 5)
+    assert similar.neighbours(lists).count() <= 2 * similar.FIRST * len(rows)
+    hashes, offsets = shingles.shingle_sets([t for _, t in rows])
+    sets = [hashes[offsets[i] : offsets[i + 1]] for i in range(len(rows))]
+    like = {i for i in range(1, len(rows)) if shingles.alike(sets[0], sets[i])}
+    kept = {r.doc_id for r in simhash.deduplicated(docs.toDF("doc_id", "text")).collect()}
+    assert len(like) > 150 and kept.isdisjoint(like) and kept == set(kept_by_brute_force(rows))
