@@ -37,6 +37,8 @@ FIRST = 4
 SAMPLE, HEAVY, OFTEN = 2_000, 200_000, 3
 #: Bits of the filter that spares most rows a shuffle.
 BITS = 1 << 24
+#: Ids that are broadcast at most; partners that a text is sent to in one go, about.
+FEW, AT_ONCE = 100_000, 256
 #: Members of lists that are compared in one go.
 PART = 1 << 15
 LISTS = "s long, _id long, _root long, n int, at int, x long, y long"
@@ -60,13 +62,25 @@ def maybe(rows: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     return rows.withColumn(name, hit).drop("_w0", "_b0", "_w1", "_b1")
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """ids, checkpointed, marked for broadcast if they are few; else the join shuffles."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
+def _wrong(marked: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The keys that the filter let through though they are not in ids: few while ids are few, so that no text need be shuffled."""
+    return _sent(marked.filter("_hit").select(key).join(ids, key, "left_anti"))
+
+
 def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    return maybe(rows, ids, key, "_hit").filter("_hit").drop("_hit").join(ids, key, "left_semi")
+    marked = maybe(rows, ids, key, "_hit")
+    return marked.filter("_hit").join(_wrong(marked, ids, key), key, "left_anti").drop("_hit")
 
 
 def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     marked = maybe(rows, ids, key, "_hit")
-    return marked.filter("not _hit").unionByName(marked.filter("_hit").join(ids, key, "left_anti")).drop("_hit")
+    return marked.filter("not _hit").unionByName(marked.filter("_hit").join(_wrong(marked, ids, key), key, "left_semi")).drop("_hit")
 
 
 def digests(texts: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -278,25 +292,35 @@ def neighbours(lists: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, width: int = SHINGLE) -> DataFrame:
     """Those of pairs (a, b), a < b, whose whole sets are alike."""
     pairs = checkpoint(pairs)
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
-    wanted = sides.select("_id").distinct()
-    both = sides.join(only(texts.select("_id", "_text"), wanted, "_id"), "_id").select("a", "b", "_id", "_text")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("_n"))
+    both = pairs.join(degree.select(F.col("_id").alias("a"), F.col("_n").alias("_na")), "a").join(degree.select(F.col("_id").alias("b"), F.col("_n").alias("_nb")), "b")
+    first = F.col("_na") >= F.col("_nb")
+    # The text of more pairs is sent once for each AT_ONCE or so of its pairs, with the other texts of these.
+    turned = checkpoint(
+        both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("h"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("o"), F.greatest("_na", "_nb").alias("_n")).select(
+            "h", "o", F.pmod(F.xxhash64("o", "h"), F.ceil(F.col("_n") / AT_ONCE)).cast("int").alias("c")
+        )
+    )
+    sides = turned.select("h", "c", F.lit(-1).cast("long").alias("o"), F.col("h").alias("_id")).distinct().unionByName(turned.select("h", "c", "o", F.col("o").alias("_id")))
+    wanted = degree.select("_id")
+    rows = sides.join(only(texts.select("_id", "_text"), wanted, "_id"), "_id").select("h", "c", "o", "_text")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None, np.zeros(0, "u8"))  # the row before: its pair, id and set
+        hub: tuple = (None, np.zeros(0, "u8"))  # the text that the next rows are compared with, and its set
         for frame in frames:
-            a, b, key = (frame.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            h, o = (frame.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             out = []
             for which, hashes, offsets in groups(frame.column(3).to_pylist(), width):
                 for i, at in enumerate(range(which.start, which.stop)):
                     found = hashes[offsets[i] : offsets[i + 1]]
-                    if key[at] == b[at] and last[0] == a[at] and last[1] == b[at] and alike(last[2], found):
-                        out.append((a[at], b[at]))
-                    last = (a[at], b[at], found)
+                    if o[at] < 0:
+                        hub = (h[at], found)
+                    elif hub[0] == h[at] and alike(hub[1], found):
+                        out.append((min(h[at], o[at]), max(h[at], o[at])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return checkpoint(both.repartition("a", "b").sortWithinPartitions("a", "b", "_id").mapInArrow(lean(run), "a long, b long"))
+    return checkpoint(rows.repartition("h", "c").sortWithinPartitions("h", "c", "o").mapInArrow(lean(run), "a long, b long"))
 
 
 def links(texts: DataFrame, rows: int, width: int = SHINGLE) -> DataFrame:
@@ -304,8 +328,9 @@ def links(texts: DataFrame, rows: int, width: int = SHINGLE) -> DataFrame:
     most = _heavy(texts, rows, width)
     alone = texts.withColumn("_root", F.col("_id"))
     found = verified(neighbours(checkpoint(by_minima(alone, width))), texts, width)
-    roots = checkpoint(components(found).select(F.col("node").alias("_id"), F.col("root").alias("_root")))
+    roots = components(found).select(F.col("node").alias("_id"), F.col("root").alias("_root"))
+    roots = checkpoint(roots)
     marked = maybe(alone, roots.select("_id"), "_id", "_hit")
-    known = marked.filter("_hit").drop("_root").join(roots, "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
+    known = marked.filter("_hit").drop("_root").join(_sent(roots), "_id", "left").withColumn("_root", F.coalesce("_root", "_id"))
     named = marked.filter("not _hit").unionByName(known).drop("_hit")
     return found.unionByName(verified(candidates(by_prefix(named, most, width)), texts, width))
