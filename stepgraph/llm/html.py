@@ -1,20 +1,22 @@
-"""Main text of web pages: markup decides where it can, nearest-URL page differencing where it cannot.
+"""Main text of web pages: nearest-URL page differencing of every page, then an exact check by markup.
 
-The method named is page differencing: pages of one host are paired with the page of the nearest url path,
-their text lines are aligned by longest common subsequence, and shared lines are deleted.  Alone it cannot
-give right results here: menus, adverts and footers differ from page to page (so nothing deletes them) and
-articles of one host share whole paragraphs (so it deletes them).  So a page with an article or main element
-is read by its markup, and differencing is left to pages without one, where markup does not say which of the
-lines outside menus, forms and the like are the article.  README.md has the figures.
+Page differencing: each page is paired with the page of the nearest url path on its host, their text lines are
+aligned by longest common subsequence, and shared lines are deleted.  All lines of all pages go through it,
+those of menus, adverts and footers too.  The check follows, line by line, where markup settles a line: a shared
+line of a marked article is restored, as articles of one host share paragraphs; a line left that stands in a
+menu, advert, form or the like, or outside a marked article, is removed, as these differ from page to page.
+On other lines differencing decides.  README.md has the figures.
 
 Defined cases: null or empty html gives an empty text; unclosed and truncated markup is read as far as it
-goes; a page alone on its host is not differenced; pages without a host are differenced among themselves;
-repeated rows are pages of their own, but equal pages (same url and lines) are not differenced against each
-other; an empty table gives an empty result; other columns are not read.
+goes; a page alone on its host shares nothing; pages without a host are differenced among themselves; repeated
+rows are pages of their own, but pages of one url path that are equal save for lines that markup rules out are
+one page to the differencing, so copies are not differenced against each other; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, ranked, table
+from .common import lean, ranked, table
 from .urls import host_of, path_of
 
 # Names from HTML and common class names.
@@ -53,7 +55,8 @@ FRAMES = frozenset("area bar block box button buttons container content group ho
 ABOUT = frozenset("has have with without no not non is hide show".split())
 STATES = frozenset("active closed collapsed disabled enabled expanded free layout off on open opened page ready visible".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-MAIN = r"(?i)<\s*(article|main)[\s/>]|\brole\s*=\s*.?main\b"
+#: What markup says of a line: not of the article, nothing, of the article.
+RULED_OUT, LEFT_OPEN, MARKED = range(3)
 
 
 @lru_cache(maxsize=4096)
@@ -128,23 +131,35 @@ def end_of(parts: list[tuple], at: int) -> int:
     return at
 
 
-def lines_of(page: str | None) -> tuple[list[str], bool]:
-    """The text blocks of a page that its markup does not rule out, and whether it marks its article."""
+def blocks_of(page: str | None) -> tuple[list[str], list[int], bool]:
+    """All text blocks of a page, what its markup says of each, and whether it marks its article."""
     parts = tokens(page or "")
-    everything: list[str] = []
-    article: list[str] = []
+    lines: list[str] = []
+    kinds: list[int] = []
     piece: list[str] = []
-    depth, found, at = 0, False, 0
+    found, at = False, 0
     mains: list[str] = []
 
+    def add(piece: list[str], kind: int) -> None:
+        text = " ".join(entities.unescape("".join(piece)).split()) if piece else ""
+        piece.clear()
+        if text:
+            lines.append(text)
+            kinds.append(kind)
+
     def close() -> None:
-        if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
-            piece.clear()
-            if text:
-                everything.append(text)
-                if mains:
-                    article.append(text)
+        add(piece, MARKED if mains else LEFT_OPEN)
+
+    def rule_out(inside: list[tuple]) -> None:
+        rest: list[str] = []
+        for name, _, _, before in inside:
+            if before:
+                rest.append(before)
+            if name == "br":
+                rest.append(" ")
+            elif name in BLOCK:
+                add(rest, RULED_OUT)
+        add(rest, RULED_OUT)
 
     while at < len(parts):
         name, closing, attributes, before = parts[at]
@@ -169,6 +184,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                 last = end_of(parts, at)
                 holds = any(n and not c and n not in RAW and role_of(n, a)[1] for n, c, a, _ in parts[at + 1 : last + 1])
                 if not holds and (name in BLOCK or last > at):  # what holds the article is entered
+                    rule_out(parts[at + 1 : last + 1])
                     at = last + 1
                     continue
         elif closing and name in mains:
@@ -177,7 +193,15 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
                 pass
         at += 1
     close()
-    return (article, True) if found and article else (everything, found)
+    if MARKED in kinds:  # then nothing beside it is the article
+        kinds = [k if k == MARKED else RULED_OUT for k in kinds]
+    return lines, kinds, found
+
+
+def lines_of(page: str | None) -> tuple[list[str], bool]:
+    """The text blocks of a page that its markup does not rule out, and whether it marks its article."""
+    lines, kinds, found = blocks_of(page)
+    return [x for x, kind in zip(lines, kinds, strict=True) if kind != RULED_OUT], found
 
 
 def _lengths(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -189,10 +213,13 @@ def _lengths(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
     return row
 
 
-def shared(mine: list[str], other: list[str]) -> set[int]:
+def shared(mine: list, other: list) -> set[int]:
     """Positions of mine on a longest common subsequence with other, in memory that grows with their lengths (Hirschberg, 1975)."""
-    known = {x: i for i, x in enumerate(dict.fromkeys(mine + other))}
-    a, b = (np.array([known[x] for x in lines], "i8") for lines in (mine, other))
+    known = {x: i for i, x in enumerate(set(mine).intersection(other))}  # no other line is on any common subsequence
+    if not known:
+        return set()
+    place = [i for i, x in enumerate(mine) if x in known]
+    a, b = (np.array([known[x] for x in lines if x in known], "i8") for lines in (mine, other))
     out: set[int] = set()
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -212,7 +239,7 @@ def shared(mine: list[str], other: list[str]) -> set[int]:
         half = (i + j) // 2
         cut = k + int((_lengths(a[i:half], b[k:m]) + _lengths(a[half:j][::-1], b[k:m][::-1])[::-1]).argmax())
         todo += [(i, half, k, cut), (half, j, cut, m)]
-    return out
+    return {place[i] for i in out}
 
 
 def _common(a: str, b: str) -> int:
@@ -224,66 +251,111 @@ def _common(a: str, b: str) -> int:
     return n
 
 
-#: Consecutive pages of a host that one group of the differencing holds.
-RUN = 32
+#: Consecutive pages of a host that one group of the pairing holds.
+RUN = 256
+
+
+def key_of(line: str) -> int:
+    """64 bits that stand for a line in the alignment: two different lines of a pair are taken for one with a probability of 2^-64."""
+    return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def differenced(pages: DataFrame) -> DataFrame:
-    """pages (_uid, page_id, url, _host, _path, _lines) with the lines shared with the nearest page deleted.
+def page_key(host: str, path: str, lines: list[str], kinds: list[int]) -> bytes:
+    """128 bits that stand for a url path with the lines that markup does not rule out."""
+    body = "\n".join(x for x, kind in zip(lines, kinds, strict=True) if kind != RULED_OUT)
+    return hashlib.blake2b(f"{len(host)} {len(path)} {host}{path}{body}".encode(), digest_size=16).digest()
+
+
+def nearest(pages: DataFrame) -> DataFrame:
+    """(_page, _near): the line keys of the nearest other page, null alone on a host; of pages (_page, _host, _path, _keys).
 
     The nearest page is the neighbour in the order of paths, of the two the one of the longer common prefix.
     Pages are ranked within their host without gathering a host in one task; a group holds RUN consecutive
     pages and one neighbour on either side.
     """
-    place = ranked(pages.select("_uid", "_host", "_path"), ["_host"], ["_path", "_uid"])
+    place = ranked(pages.groupBy("_page", "_host", "_path").agg(F.min("_keys").alias("_keys")), ["_host"], ["_path", "_page"])
     run = F.floor(F.col("_rank") / RUN).cast("long")
     at = F.col("_rank") % RUN
     runs = F.array_compact(F.array(run, F.when((at == 0) & (run > 0), run - 1), F.when(at == RUN - 1, run + 1)))
-    spread = pages.join(place.select("_uid", run.alias("_own"), "_rank", F.explode(runs).alias("_run")), "_uid")
+    spread = place.select("_page", "_host", "_path", "_keys", "_rank", run.alias("_own"), F.explode(runs).alias("_run"))
 
-    def difference(part: pd.DataFrame) -> pd.DataFrame:
+    def pair(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_rank")
-        rows = list(part.itertuples(index=False))
-        lines = [list(r[part.columns.get_loc("_lines")]) for r in rows]
-        paths, own, run_of = list(part["_path"]), list(part["_own"]), list(part["_run"])
-        kept = []
-        for i in range(len(rows)):
-            if own[i] != run_of[i]:
-                continue
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(rows) and (paths[j], lines[j]) != (paths[i], lines[i])]
-            drop: set[int] = set()
-            if near:
-                drop = shared(lines[i], lines[max(near, key=lambda j: _common(paths[i], paths[j]))])
-            kept.append((rows[i][part.columns.get_loc("page_id")], rows[i][part.columns.get_loc("url")], "\n".join(x for k, x in enumerate(lines[i]) if k not in drop)))
-        return pd.DataFrame(kept, columns=["page_id", "url", "text"])
+        pages, paths, keys, own, run_of = (list(part[c]) for c in ("_page", "_path", "_keys", "_own", "_run"))
+        out = []
+        for i in range(len(pages)):
+            if own[i] == run_of[i]:
+                beside = [j for j in (i - 1, i + 1) if 0 <= j < len(pages)]
+                out.append((pages[i], keys[max(beside, key=lambda j: _common(paths[i], paths[j]))] if beside else None))
+        return pd.DataFrame(out, columns=["_page", "_near"])
+
+    return spread.groupBy("_host", "_run").applyInPandas(pair, "_page binary, _near array<long>")
+
 
-    return spread.groupBy("_host", "_run").applyInPandas(difference, "page_id long, url string, text string")
+def checked(lines: list[str], kinds: list[int], dropped: set[int]) -> tuple[str, int, int]:
+    """The text that is left of a page whose lines at dropped were deleted, after the check; lines restored, lines removed by it."""
+    text, restored, removed = [], 0, 0
+    for i, (line, kind) in enumerate(zip(lines, kinds, strict=True)):
+        if kind == RULED_OUT:
+            removed += i not in dropped
+        elif kind == MARKED or i not in dropped:
+            restored += i in dropped
+            text.append(line)
+    return "\n".join(text), restored, removed
 
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_lines, n_shared, n_restored, n_removed) of every page.
 
-    def parse(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_lines: all text lines; n_shared: those shared with the nearest page and so deleted; n_restored: of these,
+    those that the check restored; n_removed: those that the check removed of the lines left.
+    """
+
+    def parse_keys(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            text = ["\n".join(lines_of(x.as_py())[0]) for x in frame.column(2)]
-            yield pa.RecordBatch.from_arrays([frame.column(0), frame.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+            digests, keys = [], []
+            for host, path, page in zip(*frame.columns[2:5], strict=True):
+                lines, kinds, _ = blocks_of(page.as_py())
+                digests.append(page_key(host.as_py(), path.as_py(), lines, kinds))
+                keys.append([key_of(x) for x in lines])
+            columns = [pa.array(digests, pa.binary()), frame.column(2), frame.column(3), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_page", "_host", "_path", "_keys"])
 
     def parse_lines(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
-            lines = [lines_of(x.as_py())[0] for x in frame.column(5)]
-            yield pa.RecordBatch.from_arrays([*frame.columns[:5], pa.array(lines, pa.list_(pa.string()))], names)
-
-    names = ["_uid", "page_id", "url", "_host", "_path", "_lines"]
-    marks = F.coalesce(F.col(html).rlike(MAIN), F.lit(False))
-    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    marked = base.filter(marks).mapInArrow(parse, "page_id long, url string, text string")
-    open_ = (
-        base.select(F.monotonically_increasing_id().alias("_uid"), "page_id", "url", host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path"), "html")
-        .filter(~F.coalesce(F.col("html").rlike(MAIN), F.lit(False)))
-        .mapInArrow(parse_lines, "_uid long, page_id long, url string, _host string, _path string, _lines array<string>")
+            digests, texts, says = [], [], []
+            for host, path, page in zip(*frame.columns[2:5], strict=True):
+                lines, kinds, _ = blocks_of(page.as_py())
+                digests.append(page_key(host.as_py(), path.as_py(), lines, kinds))
+                texts.append("\n".join(lines))
+                says.append(bytes(kinds))
+            columns = [frame.column(0), frame.column(1), pa.array(digests, pa.binary()), pa.array(texts, pa.string()), pa.array(says, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "_page", "_lines", "_kinds"])
+
+    def difference(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            texts, counts = [], []
+            for joined, says, near in zip(*frame.columns[2:5], strict=True):
+                kinds = list(says.as_py())
+                lines = joined.as_py().split("\n") if kinds else []
+                dropped = shared([key_of(x) for x in lines], near.as_py() or [])
+                text, restored, removed = checked(lines, kinds, dropped)
+                texts.append(text)
+                counts.append((len(lines), len(dropped), restored, removed))
+            numbers = [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
+            columns = [frame.column(0), frame.column(1), pa.array(texts, pa.string()), *numbers]
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_lines", "n_shared", "n_restored", "n_removed"])
+
+    base = pages.select(
+        F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"), F.col(html).alias("html")
+    )
+    near = nearest(base.mapInArrow(lean(parse_keys), "_page binary, _host string, _path string, _keys array<long>"))
+    whole = base.mapInArrow(lean(parse_lines), "page_id long, url string, _page binary, _lines string, _kinds binary")
+    found = whole.join(near, "_page", "left").select("page_id", "url", "_lines", "_kinds", "_near")
+    counted = found.mapInArrow(lean(difference), "page_id long, url string, text string, n_lines long, n_shared long, n_restored long, n_removed long")
+    return counted.select(
+        F.col("page_id").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared", "n_restored", "n_removed"
     )
-    both = marked.unionByName(differenced(checkpoint(open_)))
-    return both.select(F.col("page_id").alias(key), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op9_html(spark, sf_dir):

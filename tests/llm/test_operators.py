@@ -524,6 +524,41 @@ def test_differencing(spark):
     assert html.main_text(df.limit(0)).collect() == []
 
 
+def test_every_page_is_differenced_and_then_checked(spark):
+    def page(ad, text):
+        return f"<nav><p>Home</p></nav><div class=ad>{ad}</div><article><p>Same words.</p><p>{text}</p></article><footer>Foot</footer>"
+
+    rows = [(i, f"http://a.com/x/{i}", page(f"Buy {i}", f"Story {i}.")) for i in range(3)]
+    rows += [(3, "http://b.com/1", page("Buy", "Alone.")), (4, "http://c.com/1", "<main></main><p>Welcome</p><p>One.</p>"), (5, "http://c.com/2", "<main></main><p>Welcome</p><p>Two.</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_lines, r.n_shared, r.n_restored, r.n_removed) for r in html.main_text(df).collect()}
+    for i in range(3):  # Home, Same words. and Foot are shared, the second is restored, Buy is removed
+        assert got[i] == (f"Same words.\nStory {i}.", 5, 3, 1, 1)
+    assert got[3] == ("Same words.\nAlone.", 5, 0, 0, 3)
+    assert got[4] == ("One.", 2, 1, 0, 0) and got[5] == ("Two.", 2, 1, 0, 0)
+
+
+def test_copies_are_differenced_alike(spark):
+    page = "<div class=ad>{}</div><p>Welcome</p><p>Story one.</p>"
+    rows = [(i, f"http://a.com/x/1?ref={i}", page.format(i % 3)) for i in range(7)] + [(9, "http://a.com/x/2", "<p>Welcome</p><p>Story two.</p>")]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        got = sorted((r.page_id, r.text) for r in html.main_text(df).collect())
+        assert got == [(i, "Story one.") for i in range(7)] + [(9, "Story two.")]
+
+
+def test_pages_are_paired_with_the_nearest_path(spark, monkeypatch):
+    monkeypatch.setattr(html, "RUN", 4)
+    draw = np.random.default_rng(9)
+    paths = sorted({"/" + "".join(draw.choice(list("ab/"), draw.integers(0, 9))) for _ in range(200)})
+    rows = [(bytes([i, h]), f"h{h}", x, [i]) for h in (0, 1) for i, x in enumerate(paths)] + [(b"lone", "", "/", [7])]
+    got = {bytes(r._page): r._near for r in html.nearest(spark.createDataFrame(rows, "_page binary, _host string, _path string, _keys array<long>")).collect()}
+    assert len(got) == len(rows) and got[b"lone"] is None
+    for page, _, path, (i,) in rows[:-1]:
+        (j,) = got[page]
+        assert j != i and html._common(path, paths[j]) == max(html._common(path, x) for k, x in enumerate(paths) if k != i)
+
+
 def test_odd_pages(spark):
     long = "<article>" + "<p>word</p>" * 60_000 + "</article>"
     rows = [(1, "http://a.com/1", long), (2, "http://a.com/2", "<main><p>cut of"), (3, "http://a.com/3", "<p>a<div class='x"), (4, "http://a.com/4", "<<>&lt;&#x41;&bogus;"), (5, "u", "<!-- never closed <p>x</p>")]
