@@ -402,6 +402,14 @@ def test_a_hot_host_and_a_very_long_url(spark):
     assert got == {i: ("example.com/en/7", "allow") if "example" in u and "/en/7" in u else ("com/en/", "block") for i, u in enumerate(links)}
 
 
+def test_registered_rules_are_those_of_the_contract(spark, tmp_path):
+    """block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"""
+    links = ["http://a.com/en/1", "http://example.com/en/71", "http://a.net/de/1", "http://www.example.net/de/8", "http://x.org/es/", "http://a.net/en/"]
+    spark.createDataFrame(list(enumerate(links)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.rule, r.verdict) for r in urls.op7_urls(spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
+
+
 # 8
 
 
