@@ -4,6 +4,7 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stepgraph.functions import guards as G
 from stepgraph.functions.schemas import Schema, compiles
@@ -122,6 +123,23 @@ def test_attempts_are_classified():
     assert run(lambda s, n: ("interrupt", None)) == ("interrupt", False, None)
 
 
+def test_calls_that_wait_pass_beside_each_other(spark):
+    """Half of the calls of one task wait, a third of these beyond their time; each row keeps its own result."""
+
+    def waits(state, attempt):
+        if state["key"] % 2:
+            time.sleep(1 if state["key"] % 6 == 1 else 0.2)
+        return "ok", {"out": state["key"] + attempt}
+
+    rows = spark.range(120).coalesce(1)
+    made = lambda on: rows.select("id", calls.called(waits, {"key": F.col("id")}, on, F.lit(1), {"out": T.LongType()}, 500).alias("u")).collect()
+    assert all(r.u.status is None for r in made(F.lit(False)))  # starts Python
+    began = time.monotonic()
+    got = {r.id: (r.u.status, r.u.reason, r.u.v_out) for r in made(F.col("id") % 5 != 0)}
+    assert time.monotonic() - began < 6  # one after another they wait 14 s
+    assert got == {i: (None, None, None) if i % 5 == 0 else ("error", "timeout", None) if i % 6 == 1 else ("ok", None, i + 1) for i in range(120)}
+
+
 def test_called_nodes_interrupt_and_hold(spark):
     """A call that succeeded is not made again while its sibling is tried again, and an interrupt waits for its answer."""
 
