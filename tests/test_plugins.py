@@ -1,5 +1,6 @@
 """Stores, leases, policies, observers and nodes of user code."""
 
+import threading
 import time
 
 import pytest
@@ -140,6 +141,13 @@ def test_calls_that_wait_pass_beside_each_other(spark):
     assert got == {i: (None, None, None) if i % 5 == 0 else ("error", "timeout", None) if i % 6 == 1 else ("ok", None, i + 1) for i in range(120)}
 
 
+def test_calls_that_do_not_wait_share_a_thread(spark):
+    name = lambda state, attempt: ("ok", {"out": threading.current_thread().name})
+    rows = spark.range(400).coalesce(1)
+    made = rows.select(calls.called(name, {"key": F.col("id")}, F.lit(True), F.lit(1), {"out": T.StringType()}, 5000).alias("u")).collect()
+    assert len(made) == 400 and len({r.u.v_out for r in made}) <= 10
+
+
 def test_called_nodes_interrupt_and_hold(spark):
     """A call that succeeded is not made again while its sibling is tried again, and an interrupt waits for its answer."""
 
