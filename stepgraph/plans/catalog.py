@@ -494,9 +494,10 @@ starts AS (SELECT graph, min(source) AS node FROM edges GROUP BY graph), ends AS
 
 
 def edges(spark, d) -> DataFrame:
+    """Rows may be repeated."""
     source, target = F.col("l_suppkey") % 8, F.col("l_partkey") % 8
     edge = F.concat_ws("-", source.cast("string"), F.col("l_linenumber").cast("string"))
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), edge.alias("edge"), source.alias("source"), target.alias("target")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("graph"), edge.alias("edge"), source.alias("source"), target.alias("target"))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -513,7 +514,7 @@ def graph_reachability(spark, d):
 def graph_and_reachability(spark, d):
     """Fan-in edges: the sources of one target in one graph must all be reached."""
     rows = edges(spark, d).withColumn("edge", F.concat_ws("-", F.col("target").cast("string"), (F.col("source") % 3).cast("string")))
-    return reach.reachable(rows.distinct(), _starts(rows), barriers=True)
+    return reach.reachable(rows, _starts(rows), barriers=True)
 
 
 _CLOSURE = "c AS (SELECT DISTINCT graph, source AS a, target AS b FROM edges UNION SELECT c.graph, c.a, e.target FROM c JOIN edges e ON e.graph = c.graph AND e.source = c.b)"

@@ -1,6 +1,7 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and units of the state algebra."""
 
 import json
+import random
 from pathlib import Path
 
 import duckdb
@@ -15,7 +16,7 @@ from stepgraph.operators import admission, reach, store
 from stepgraph.plans import catalog, flows
 from stepgraph.plans.engine import Engine
 from stepgraph.plans.graph import FINISH, START, Field, Graph, Node, Reducer
-from stepgraph.sources.snapshots import SnapshotStore
+from stepgraph.sources.snapshots import SnapshotStore, checkpoint
 
 DATA = "/root/testdata/sf0.001"
 
@@ -177,3 +178,41 @@ def test_reach_over_many_rounds(spark):
     df = spark.createDataFrame([("g", str(i), i, i + 1) for i in range(20)], "graph string, edge string, source long, target long")
     start = spark.createDataFrame([("g", 3)], "graph string, node long")
     assert sorted(r.node for r in reach.reachable(df, start).collect()) == list(range(3, 21))
+
+
+def test_graphs_within_tasks_and_by_rounds_agree(spark, monkeypatch):
+    """Small graphs go whole in one job's shuffle, larger ones by rounds; null ends, repeated rows and several start nodes alike."""
+    draw = random.Random(5)
+    rows = [(g, str(draw.randrange(6)), draw.randrange(9), draw.randrange(9)) for g in range(60) for _ in range(1 + g % 14)]
+    rows += rows[::7] + [(1, "n", 1, None), (1, "n", 2, 3), (2, None, 0, 1), (None, "x", 0, 1), (3, "o", None, 4), (3, "o", 0, 5), (99, "x", 1, 5)]
+    edges = spark.createDataFrame(rows, "graph int, edge string, source int, target int")
+    begins = [(g, draw.randrange(9)) for g in range(60) for _ in range(1 + g % 3)] + [(99, 1), (99, 5), (98, 4), (98, 4), (None, 1), (4, None)]
+    start = spark.createDataFrame(begins, "graph int, node int")
+    for barriers in (False, True):
+        want = set(begins)
+        while True:
+            needs = {}
+            for g, e, s, t in rows:
+                key = (g, e) if barriers else (g, s)
+                if None not in key:
+                    sources, targets = needs.setdefault(key, (set(), set()))
+                    sources.update([(g, s)] if s is not None else [])
+                    targets.update([(g, t)] if t is not None else [])
+            more = {n for sources, targets in needs.values() if sources and sources <= want for n in targets} - want
+            if not more:
+                break
+            want |= more
+        for small in (1_000, 7, 0):
+            monkeypatch.setattr(reach, "SMALL", small)
+            got = [tuple(r) for r in reach.reachable(edges, start, barriers).collect()]
+            assert len(got) == len(want) and set(got) == want
+
+
+def test_small_graphs_are_written_once(spark, monkeypatch):
+    """Rounds of joins would write the edges of all graphs and what each round finds."""
+    written = []
+    monkeypatch.setattr(reach, "checkpoint", lambda df: written.append(df := checkpoint(df)) or df)
+    edges = spark.createDataFrame([(g, str(i), i, i + 1) for g in range(50) for i in range(9)], "graph int, edge string, source int, target int")
+    for barriers in (False, True):
+        rows = reach.reachable(edges, edges.select("graph", F.lit(2).alias("node")), barriers)
+        assert rows.count() == 50 * 8 and sum(df.count() for df in written) == 0
