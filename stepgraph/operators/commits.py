@@ -112,8 +112,11 @@ def retried(runs: DataFrame, which: Column, now: int) -> DataFrame:
 
 
 def abandoned(runs: DataFrame, tokens: DataFrame, now: int, base: int, cap: int, max_abandons: int | None = None) -> DataFrame:
-    """runs whose claims (claim_token of tokens) are handed back, to wake after a backoff; poison at max_abandons, never if that is None."""
-    mine = tokens.select("claim_token", F.lit(True).alias("_mine")).distinct()
+    """runs whose claims (claim_token of tokens) are handed back, to wake after a backoff; poison at max_abandons, never if that is None.
+
+    Runs without a claim are not joined: their null tokens match nothing and would all go to one task.
+    """
+    mine = tokens.dropna(subset=["claim_token"]).select("claim_token", F.lit(True).alias("_mine")).distinct()
     there = F.coalesce("_mine", F.lit(False))
     n = F.col("claim_abandons") + 1
     out = there & (n >= max_abandons) if max_abandons is not None else F.lit(False)
@@ -128,7 +131,9 @@ def abandoned(runs: DataFrame, tokens: DataFrame, now: int, base: int, cap: int,
         "poisoned_at": F.when(out, F.lit(now)).otherwise(F.col("poisoned_at")),
         "poison_reason": F.when(out, F.lit("max_claim_abandons_exceeded")).otherwise(F.col("poison_reason")),
     }
-    return runs.join(mine, "claim_token", "left").withColumns({k: v.cast(kinds[k]) for k, v in new.items()}).select(*runs.columns)
+    held = runs.filter("claim_token is not null").join(mine, "claim_token", "left")
+    held = held.withColumns({k: v.cast(kinds[k]) for k, v in new.items()}).select(*runs.columns)
+    return held.unionByName(runs.filter("claim_token is null"))
 
 
 def duplicated(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import threading
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,6 +113,26 @@ def test_dispatcher_commits_what_work_proposes(spark, held):
     assert commits.duplicated(held.appended("events"), ["run_id", "seq"]).collect() == []
 
 
+def test_runs_without_a_claim_are_not_dealt_to_one_task(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    rows = spark.createDataFrame(runs(spark, DATA).collect(), runs(spark, DATA).schema).repartition(8)
+    tokens = spark.createDataFrame([(None,), ("tok-3",), ("tok-3",), ("none",)], "claim_token string").unionByName(rows.filter("id % 2 = 0").select("claim_token"))
+    mine = {r.claim_token for r in tokens.collect()} - {None}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = commits.abandoned(rows, tokens, NOW, 1, 8).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    names = ["id", "claim_token", "claim_abandons", "wake_at"]
+    want = [(r.id, None, r.claim_abandons + 1, NOW + min(2**r.claim_abandons, 8)) if r.claim_token in mine else tuple(r[n] for n in names) for r in rows.collect()]
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(want) and any(r.claim_token in mine for r in rows.collect())
+    sizes = Counter(r.part for r in got)
+    assert max(sizes.values()) < len(got) / 4  # most runs have no claim
+
+
 def test_attempts_are_classified():
     run = lambda call, ms=500: calls.attempt(call, {"x": 1}, 1, ("y",), ms)[:3]
     assert calls.attempt(lambda s, n: ("ok", {"y": s["x"] + n}), {"x": 1}, 1, ("y",), 500) == ("ok", False, None, {"y": 2})
